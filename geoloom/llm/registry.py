@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_counts", "pieces", "token_store", "media")
+MODULES = ("url_filter", "mixing", "simhash", "pieces", "token_counts", "token_store", "media")
 
 
 def queries() -> dict:
