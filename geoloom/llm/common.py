@@ -49,15 +49,14 @@ def id_remainder(id_col: str, modulus: int) -> Column:
 
 def map_rows(
     df: DataFrame,
-    start: Callable[[], Callable[[list[str], dict[str, list]], dict[str, list]]],
+    start: Callable[[], Callable[[list[str]], dict[str, list]]],
     columns: list[str],
     text_col: str,
     fields: str,
 ) -> DataFrame:
     """Keep columns and add fields, made in Python from groups of whole texts.
 
-    start() runs once in each task and returns a function of (texts, kept columns) that returns the new columns. Null
-    texts reach it as "". Groups hold GROUP_BYTES of text or one longer text, so memory follows the longest text.
+    start() runs once in each task and returns a function of texts that returns the new columns. Null texts reach it as "". Groups hold GROUP_BYTES of text or one longer text, so memory follows the longest text.
     """
     picked = df.select(*columns, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     added = df.sparkSession.createDataFrame([], fields).schema
@@ -92,10 +91,26 @@ def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
     if not len(texts):
         return
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     at = 0
     while at < len(ends):
         before = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, before + GROUP_BYTES, side="right")))
         yield at, to - at
         at = to
+
+
+def filter_rows(df: DataFrame, start: Callable[[], Callable[[list[str]], list[bool]]], text_col: str) -> DataFrame:
+    """The rows of df, with all their columns, whose whole text passes; start() as in map_rows, its function says which pass."""
+    at_text = df.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = None
+        for batch in batches:
+            step = step or start()
+            for at, n in groups(batch.column(at_text)):
+                part = batch.slice(at, n)
+                keeps = step([t or "" for t in part.column(at_text).to_pylist()])
+                yield part.filter(pa.array([bool(k) for k in keeps], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
