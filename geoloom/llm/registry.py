@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("url_filter", "mixing", "simhash", "language", "pieces", "token_counts", "token_store", "quality", "media")
+MODULES = ("url_filter", "mixing", "simhash", "language", "pieces", "token_counts", "lattice_lm", "token_store", "quality", "media")
 
 
 def queries() -> dict:
