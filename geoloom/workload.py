@@ -1,10 +1,289 @@
-"""Queries of the feature engine over the driver's tables, with their SQL."""
+"""Queries of the feature engine over the driver's tables, with their SQL.
+
+The tables stand in for the engine's own: parts are taxa, lineitems are occurrences, embeddings are points, customers and
+orders are archives, and so on. Each query goes through the operator that it is named for.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geoloom.functions import attributes, metadata
+from geoloom.functions.rect import QueryRect, inside_closed, inside_open
+from geoloom.operators import catalog, taxa, terminology
+from geoloom.plans import graph
+from geoloom.sources import archive, occurrence, tabular
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _points(spark, d):
+    e = _read(spark, d, "embeddings")
+    return e.select("vec_id", F.get("embedding", 0).cast("double").alias("x"), F.get("embedding", 1).cast("double").alias("y"))
+
+
+def _terms(spark, d):
+    """Parts as terms: taxon, term, level."""
+    return _read(spark, d, "part").select(F.col("p_partkey").alias("taxon"), F.col("p_name").alias("term"), F.lower("p_type").alias("level"))
+
+
+def bbox_closed(spark, d):
+    return _points(spark, d).where(inside_closed(F.col("x"), F.col("y"), QueryRect(-0.1, -0.05, 0.1, 0.2)))
+
+
+def bbox_open(spark, d):
+    rows = _read(spark, d, "lineitem").where(inside_open(F.col("l_quantity"), F.col("l_discount"), QueryRect(10, 0.02, 20, 0.05)))
+    return rows.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+
+
+def unit_join(spark, d):
+    datasets = _read(spark, d, "orders").select(F.col("o_orderkey").alias("surrogate_key"), F.col("o_custkey").alias("dataset_id"))
+    units = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("surrogate_key"), "l_linenumber", "l_extendedprice", "l_quantity")
+    rows = archive.units_of(datasets, units, 7, F.col("l_extendedprice"), F.col("l_quantity"), QueryRect(1000, 1, 60000, 40))
+    return rows.select("surrogate_key", "l_linenumber", F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
+
+
+def unit_filter(spark, d):
+    datasets = _read(spark, d, "orders").select(F.col("o_orderkey").alias("surrogate_key"), F.col("o_custkey").alias("dataset_id"))
+    units = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("surrogate_key"), F.col("l_linenumber").cast("string").alias("unit_id"), "l_extendedprice", "l_quantity")
+    rows = archive.units_of(datasets, units, 7, F.col("l_extendedprice"), F.col("l_quantity"), QueryRect(0, 0, 1e9, 1e9), F.col("unit_id"), ["1", "3", "3"])
+    return rows.select("surrogate_key", "unit_id", F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
+
+
+def sample_cap(spark, d):
+    return archive.sample_to(_points(spark, d))
+
+
+def sample_active(spark, d):
+    return archive.sample_to(_read(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), 1000)
+
+
+def taxa_query(spark, d):
+    return taxa.resolve_taxa(_terms(spark, d), "red", "ECONOMY")
+
+
+def taxa_names(spark, d):
+    names = _read(spark, d, "part").select(F.col("p_partkey").alias("taxon"), F.col("p_name").alias("name"))
+    return taxa.resolve_taxa_names(names, taxa.resolve_taxa(_terms(spark, d), "red", "ECONOMY", distinct=False))
+
+
+def occ_points(spark, d):
+    narrow = _read(spark, d, "lineitem").select(F.col("l_partkey").alias("taxon"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
+    found = taxa.resolve_taxa(_terms(spark, d), "red", "ECONOMY", distinct=False)
+    return occurrence.occurrence_points(None, narrow, found, QueryRect(1000, 5, 50000, 45), [], [])
+
+
+def occ_attributes(spark, d):
+    wide = _read(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("taxonkey"), F.col("l_extendedprice").alias("decimallongitude"), F.col("l_quantity").alias("decimallatitude"),
+        F.col("l_tax").alias("elevation"), F.col("l_returnflag").alias("depth"), F.col("l_linestatus").alias("basisofrecord"),
+    )
+    found = taxa.resolve_taxa(_terms(spark, d), "red", "ECONOMY", distinct=False)
+    rows = occurrence.occurrence_points(wide, None, found, QueryRect(1000, 5, 50000, 45), ["elevation", "depth"], ["basisofrecord"])
+    return rows.withColumn("depth", F.isnan("depth"))  # NaN is compared as a flag: engines order and print it differently
+
+
+def provenance_occ(spark, d):
+    narrow = _read(spark, d, "lineitem").select(F.col("l_partkey").alias("taxon"), F.col("l_suppkey").alias("uid"))
+    datasets = _read(spark, d, "supplier").join(_read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    datasets = datasets.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("citation"), F.col("n_name").alias("uri"))
+    red = _read(spark, d, "part").where(F.col("p_name").ilike("red%")).select(F.col("p_partkey").alias("taxon"))
+    return occurrence.occurrence_provenance(spark, occurrence.OCCURRENCE_LABEL, narrow, datasets, red)
+
+
+def provenance_ranges(spark, d):
+    return occurrence.occurrence_provenance(spark, "", None, None, None)
+
+
+def source_counts(spark, d):
+    red = _read(spark, d, "part").where(F.col("p_name").ilike("red%"))
+    narrow = _read(spark, d, "lineitem").select(F.col("l_partkey").alias("taxon"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("y"))
+    ranges = _read(spark, d, "part").select(F.col("p_name").alias("binomial"))
+    names = red.select(F.lower("p_name").alias("name"))
+    return taxa.data_sources(taxa.count_occurrences(narrow, red.select(F.col("p_partkey").alias("taxon"))), taxa.count_ranges(ranges, names), ("occurrences", "ranges"))
+
+
+def species_search(spark, d):
+    return taxa.search_species(_terms(spark, d), "RED", "Economy")
+
+
+def collect_geometry(spark, d):
+    c = _read(spark, d, "customer").where("c_custkey < 200")
+    ranges = c.select(F.upper("c_mktsegment").alias("binomial"), F.concat(F.lit("POINT("), F.col("c_custkey"), F.lit(" "), F.col("c_nationkey"), F.lit(")")).alias("geometry_wkt"))
+    return occurrence.occurrence_ranges(ranges, spark.createDataFrame([("machinery",)], "name string"))
+
+
+def attr_nan(spark, d):
+    c = _read(spark, d, "customer").where("c_custkey < 5")
+    return c.select("c_custkey", F.isnan(attributes.numeric(F.col("c_name"), "v")).alias("is_nan"), attributes.numeric(F.col("c_acctbal"), "balance"), attributes.textual(F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")), "segment"))
+
+
+def json_field(spark, d):
+    e = _read(spark, d, "events").where("event_type = 'click'")
+    return e.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "double").alias("k"))
+
+
+def resolve_keep(spark, d):
+    terms = _read(spark, d, "nation").where("n_regionkey = 1").select(F.lit("nations").alias("terminology"), F.col("n_nationkey").cast("string").alias("query"), F.col("n_name").alias("label"))
+    features = _read(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("user"))
+    return terminology.resolve_by_table(features, terms, terminology.Resolution("user", "resolved", "nations", on_not_resolvable=terminology.KEEP))
+
+
+def resolve_empty(spark, d):
+    terms = _read(spark, d, "nation").where("n_regionkey = 1").select(F.lit("nations").alias("terminology"), F.col("n_nationkey").cast("string").alias("query"), F.col("n_name").alias("label"))
+    features = _read(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("user"))
+    return terminology.resolve_by_table(features, terms, terminology.Resolution("user", "resolved", "nations", on_not_resolvable=terminology.EMPTY))
+
+
+def resolve_service(spark, d):
+    features = _read(spark, d, "events").select("event_id", F.col("event_type").alias("kind"))
+    how = terminology.Resolution("kind", "resolved", "kinds", on_not_resolvable=terminology.KEEP)
+
+    def answer(names):
+        return [json.dumps({"results": [{"label": [n.upper()]}]}) if n.startswith("c") else json.dumps({"results": []}) for n in names]
+
+    return terminology.resolve_by_service(features, answer, how, parallelism=4)
+
+
+def page(spark, d):
+    overview = _read(spark, d, "orders").select(F.lit("me").alias("owner"), F.col("o_totalprice").alias("query"), F.col("o_orderdate").alias("timestamp"), F.col("o_orderkey").alias("basket_id"))
+    return catalog.list_baskets(overview, "me", 20, 10)[1].select("basket_id", "query")
+
+
+def event_epoch(spark, d):
+    return _read(spark, d, "events").where("event_id < 50").select("event_id", attributes.epoch_seconds(F.col("ts")).alias("epoch"))
+
+
+def path_hash(spark, d):
+    return _read(spark, d, "nation").select("n_nationkey", F.sha1("n_name").alias("digest"))
+
+
+def basket_available(spark, d):
+    listing = _read(spark, d, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("id")).distinct()
+    docs = _read(spark, d, "documents")
+    entries = docs.select(F.lit("b").alias("basket_id"), F.array(F.parse_json(F.to_json(F.struct(F.col("source").alias("title"), F.col("doc_id").cast("string").alias("datalink"), (F.col("n_chars") > 100).alias("vatVisualizable"))))).alias("entries"))
+    return catalog.typed_entries(entries, listing).select("data_link", "title", "available", "result_type")
+
+
+def listing_available(spark, d):
+    listing = _read(spark, d, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 1).alias("available"))
+    return catalog.available_archives(listing)
+
+
+def listing_archives(spark, d):
+    c = _read(spark, d, "customer")
+    listing = c.select(F.concat(F.lit("l/"), F.col("c_custkey")).alias("link"), F.col("c_name").alias("dataset"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("provider"), (F.col("c_acctbal") > 0).alias("available"), (F.col("c_nationkey") > 10).alias("isGeoReferenced"))
+    return catalog.archives(listing)
+
+
+def point_wkt(spark, d):
+    return _points(spark, d).select("vec_id", attributes.point_wkt(F.col("x"), F.col("y")).alias("wkt"))
+
+
+def box_wkt(spark, d):
+    p = _points(spark, d)
+    return p.select("vec_id", attributes.box_wkt(F.col("x"), F.col("y"), F.col("x") + 1, F.col("y") + 1).alias("wkt"))
+
+
+META = {
+    "name": "Ice cores", "license": "CC-BY", "url": "http://example.org/1", "creator": {"familyName": "Doe", "givenName": "Kim"},
+    "variableMeasured": [{"name": "Latitude"}, {"name": "Longitude"}, {"name": "Depth", "unitText": "m"}, {"name": "Depth", "unitText": "m"}, {"name": "Note", "description": "free"}],
+    "spatialCoverage": {"geo": {"@type": "GeoShape", "box": "10 20 30 40"}},
+    "distribution": [{"fileFormat": "text/html", "contentUrl": "h"}, {"fileFormat": "text/tab-separated-values", "contentUrl": "t"}],
+}
+TABLE = "/* a comment\nover lines */\nLat\tLon\tD\tD\tN\n1.5\t2.5\t10\t\tx\n3\t4\tbad\t7\t\n"
+
+
+def _fetch(identifier: str, kind: str) -> str:
+    return {"metadata": json.dumps(META), "table": TABLE, "citation": "Doe, Kim: Ice cores"}[kind]
+
+
+def metadata_entry(spark, d):
+    rows = spark.createDataFrame([("10.1/x", json.dumps(META))], "doi string, json string")
+    return catalog.table_entries(rows).select("doi", "title", "data_link", "is_georeferenced", "geometry", "column_x", "column_y", "result_type", F.size("parameters").alias("n_parameters"), "usable")
+
+
+def metadata_coverage(spark, d):
+    rows = spark.createDataFrame([(json.dumps(META),)], "json string")
+    return metadata.parse_metadata(rows).select("coverage", "coverage_wkt", F.get("authors", 0).alias("author"))
+
+
+def tabular_points(spark, d):
+    params = {"columns": {"x": "Longitude", "y": "Latitude", "numeric": ["Depth1"], "textual": ["Note free"]}, "on_error": "skip"}
+    return tabular.remote_table(spark, _fetch, "10.1/x", params, QueryRect(-180, -90, 180, 90)).select("x", "y", F.nanvl("Depth1", F.lit(-1.0)).alias("depth"), F.col("Note free").alias("note"))
+
+
+def graph_resolver(spark, d):
+    query = {
+        "query_result": "points",
+        "spatial_reference": {"projection": "EPSG:4326", "x1": 1000, "x2": 50000, "y1": 5, "y2": 45},
+        "query": {
+            "type": "terminology_resolver",
+            "params": {"attribute_name": "basisofrecord", "resolved_attribute": "status", "terminology": "flags", "on_not_resolvable": "KEEP"},
+            "sources": {"points": [{"type": "occurrence_source", "params": {"term": "red", "level": "ECONOMY", "dataSource": "GBIF", "columns": {"numeric": [], "textual": ["basisofrecord"]}}}]},
+        },
+    }
+    wide = _read(spark, d, "lineitem").select(F.col("l_partkey").alias("taxonkey"), F.col("l_extendedprice").alias("decimallongitude"), F.col("l_quantity").alias("decimallatitude"), F.col("l_linestatus").alias("basisofrecord"))
+    terms = spark.createDataFrame([("flags", "O", "open"), ("other", "F", "wrong")], "terminology string, query string, label string")
+    return graph.build(query, graph.Context(spark, {"occurrences": wide, "taxon_to_term": _terms(spark, d), "terms": terms}))
+
+
+QUERIES = {
+    "bbox_closed": bbox_closed, "bbox_open": bbox_open, "unit_join": unit_join, "unit_filter": unit_filter, "sample_cap": sample_cap, "sample_active": sample_active, "taxa": taxa_query, "taxa_names": taxa_names,
+    "occ_points": occ_points, "occ_attributes": occ_attributes, "provenance_occ": provenance_occ, "provenance_ranges": provenance_ranges, "source_counts": source_counts, "species_search": species_search,
+    "collect_geometry": collect_geometry, "attr_nan": attr_nan, "json_field": json_field, "resolve_keep": resolve_keep, "resolve_empty": resolve_empty, "resolve_service": resolve_service, "page": page,
+    "event_epoch": event_epoch, "path_hash": path_hash, "basket_available": basket_available, "listing_available": listing_available, "listing_archives": listing_archives, "point_wkt": point_wkt, "box_wkt": box_wkt,
+    "metadata_entry": metadata_entry, "metadata_coverage": metadata_coverage, "tabular_points": tabular_points, "graph_resolver": graph_resolver,
+}
+
+_XY = "embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y"
+_TAXA = "SELECT p_partkey FROM part WHERE lower(p_type) = 'economy' AND p_name ILIKE 'red%'"
+_OCC = f"FROM lineitem WHERE l_extendedprice > 1000 AND l_extendedprice < 50000 AND l_quantity > 5 AND l_quantity < 45 AND l_partkey IN ({_TAXA})"
+_RESOLVE = "SELECT event_id, user_id::VARCHAR AS user, coalesce(n_name, {default}) AS resolved FROM events LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) ON user_id = n_nationkey"
+_UNITS = "SELECT o_orderkey AS surrogate_key, {unit}, l_extendedprice AS x, l_quantity AS y FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = 7 AND {where}"
+
+
+def _fixed(x: str) -> str:
+    return f"CAST(CAST({x} AS DECIMAL(18,6)) AS VARCHAR)"
+
+
+_BOX = " || ', ' || ".join(f"{_fixed(a)} || ' ' || {_fixed(b)}" for a, b in (("x", "y"), ("x", "y + 1"), ("x + 1", "y + 1"), ("x + 1", "y"), ("x", "y")))
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "bbox_closed": f"SELECT * FROM (SELECT vec_id, {_XY} FROM embeddings) WHERE x BETWEEN -0.1 AND 0.1 AND y BETWEEN -0.05 AND 0.2",
+    "bbox_open": "SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_quantity > 10 AND l_quantity < 20 AND l_discount > 0.02 AND l_discount < 0.05",
+    "unit_join": _UNITS.format(unit="l_linenumber", where="l_extendedprice BETWEEN 1000 AND 60000 AND l_quantity BETWEEN 1 AND 40"),
+    "unit_filter": _UNITS.format(unit="l_linenumber::VARCHAR AS unit_id", where="l_linenumber IN (1, 3)"),
+    "sample_cap": f"SELECT vec_id, {_XY} FROM embeddings",
+    "taxa": f"SELECT DISTINCT p_partkey AS taxon FROM ({_TAXA})",
+    "taxa_names": f"SELECT DISTINCT lower(p_name) AS name FROM part WHERE p_name != '' AND p_partkey IN ({_TAXA})",
+    "occ_points": f"SELECT l_extendedprice AS x, l_quantity AS y {_OCC}",
+    "occ_attributes": f"SELECT l_extendedprice AS x, l_quantity AS y, l_tax AS elevation, TRY_CAST(l_returnflag AS DOUBLE) IS NULL AS depth, l_linestatus AS basisofrecord {_OCC}",
+    "provenance_occ": "SELECT citation, '' AS license, uri, 'data.occurrence_source.occurrences' AS local_identifier FROM (SELECT DISTINCT s_suppkey, s_name AS citation, n_name AS uri FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_name ILIKE 'red%'))",
+    "provenance_ranges": f"SELECT '{occurrence.RANGE_CITATION}' AS citation, '{occurrence.RANGE_LICENSE}' AS license, '{occurrence.RANGE_URI}' AS uri, 'data.occurrence_source.ranges' AS local_identifier",
+    "source_counts": "SELECT 'occurrences' AS name, count(*) AS count FROM lineitem WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL AND l_partkey IN (SELECT p_partkey FROM part WHERE p_name ILIKE 'red%') UNION ALL SELECT 'ranges', count(*) FROM part WHERE lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_name ILIKE 'red%')",
+    "species_search": "SELECT p_name AS term FROM part WHERE p_name ILIKE 'RED%' AND lower(p_type) = lower('Economy') ORDER BY p_name",
+    "collect_geometry": "SELECT 'GEOMETRYCOLLECTION(' || string_agg(g, ',' ORDER BY g) || ')' AS geometry_wkt FROM (SELECT 'POINT(' || c_custkey || ' ' || c_nationkey || ')' AS g FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey < 200) HAVING count(*) > 0",
+    "attr_nan": "SELECT c_custkey, TRY_CAST(c_name AS DOUBLE) IS NULL AS is_nan, c_acctbal AS balance, coalesce(nullif(c_mktsegment, 'BUILDING'), '') AS segment FROM customer WHERE c_custkey < 5",
+    "json_field": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events WHERE event_type = 'click'",
+    "resolve_keep": _RESOLVE.format(default="user_id::VARCHAR"),
+    "resolve_empty": _RESOLVE.format(default="''"),
+    "resolve_service": "SELECT event_id, event_type AS kind, CASE WHEN event_type LIKE 'c%' THEN upper(event_type) ELSE event_type END AS resolved FROM events",
+    "page": "SELECT o_orderkey AS basket_id, o_totalprice AS query FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10 OFFSET 20",
+    "event_epoch": "SELECT event_id, epoch_us(ts) / 1e6 AS epoch FROM events WHERE event_id < 50",
+    "path_hash": "SELECT n_nationkey, sha1(n_name) AS digest FROM nation",
+    "basket_available": "SELECT d.doc_id::VARCHAR AS data_link, d.source AS title, (l.doc_id IS NOT NULL AND d.n_chars > 100) AS available, 'points' AS result_type FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id",
+    "listing_available": "SELECT doc_id AS id FROM labels WHERE quality = 1",
+    "listing_archives": "SELECT 'l/' || c_custkey AS link, c_name AS dataset, c_custkey AS file, c_mktsegment AS provider, c_acctbal > 0 AS available, c_nationkey > 10 AS \"isGeoReferenced\" FROM customer",
+    "point_wkt": f"SELECT vec_id, 'POINT(' || {_fixed('x')} || ' ' || {_fixed('y')} || ')' AS wkt FROM (SELECT vec_id, {_XY} FROM embeddings)",
+    "box_wkt": f"SELECT vec_id, 'POLYGON((' || {_BOX} || '))' AS wkt FROM (SELECT vec_id, {_XY} FROM embeddings)",
+    "metadata_entry": "SELECT '10.1/x' AS doi, 'Ice cores' AS title, 't' AS data_link, true AS is_georeferenced, 'XY' AS geometry, 'Longitude' AS column_x, 'Latitude' AS column_y, 'points' AS result_type, 3::INTEGER AS n_parameters, true AS usable",
+    "metadata_coverage": "SELECT 'BOX' AS coverage, 'POLYGON((20.000000 10.000000, 20.000000 30.000000, 40.000000 30.000000, 40.000000 10.000000, 20.000000 10.000000))' AS coverage_wkt, 'Doe, Kim' AS author",
+    "tabular_points": "SELECT * FROM (VALUES (2.5::DOUBLE, 1.5::DOUBLE, -1.0::DOUBLE, 'x'), (4.0, 3.0, 7.0, '')) t(x, y, depth, note)",
+    "graph_resolver": f"SELECT l_extendedprice AS x, l_quantity AS y, l_linestatus AS basisofrecord, CASE l_linestatus WHEN 'O' THEN 'open' ELSE l_linestatus END AS status {_OCC}",
+}
