@@ -40,12 +40,12 @@ class WordIds:
     lower-cased first and get a space before each run of signs, where the library cuts anyway: that leaves fewer words.
     """
 
-    KEPT = 1_000_000
+    KEPT = 1_300_000
     #: Words in one call.
     CALL = 500
-    #: Beyond these letters, and at odd separators, texts go to the library as they are.
-    RARE = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]")
-    SIGNS = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x250)) if not c.isalnum() and not c.isspace()) + "]+")
+    #: Texts with one of these, or beyond Latin-1, go to the library as they are: spaces and separators that libraries see differently.
+    ODD = b"\x1c\x1d\x1e\x1f\x85\xa0"
+    SIGNS = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x100)) if not c.isalnum() and not c.isspace()) + "]+")
 
     def __init__(self, path: str, width: int):
         import os
@@ -63,17 +63,24 @@ class WordIds:
         self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
         self.ends[[i for t, i in model["vocab"].items() if mark and t.endswith(mark)]] = True
 
+    def simple(self, text: str) -> bool:
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return len(raw.translate(None, self.ODD)) == len(raw)
+
     def words(self, text: str) -> list[bytes]:
         """Parts of a text that are encoded apart."""
-        if self.RARE.search(text) or any(t in text for t in self.special):
-            return text.encode().split()
-        return self.SIGNS.sub(r" \g<0>", text.lower()).encode().split()
+        if self.simple(text) and not any(t in text for t in self.special):
+            return self.SIGNS.sub(r" \g<0>", text.lower()).encode().split()
+        return text.encode().split()
 
     def learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
         plain, odd = [], []
         for w in missing:
             t = w.decode()
-            (plain if t.isalpha() and (t.isascii() or not self.RARE.search(t)) else odd).append(t)
+            (plain if t.isalpha() and (t.isascii() or self.simple(t)) else odd).append(t)
         found = self.lib.encode_batch_fast(odd, add_special_tokens=False)
         out = {w.encode(): np.array(e.ids, self.kind).tobytes() for w, e in zip(odd, found, strict=True)}
         return out | {w.encode(): ids for w, ids in self.learn_stems(plain).items()}
