@@ -1,0 +1,58 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from geoloom.functions import attributes as a
+from geoloom.functions.rect import QueryRect, inside_closed, inside_open
+
+RECT = QueryRect(0, 0, 10, 5)
+POINTS = [(0.0, 0.0), (10.0, 5.0), (5.0, 2.0), (5.0, 5.0), (10.0, 2.0), (None, 1.0), (1.0, None), (11.0, 1.0)]
+
+
+@pytest.mark.parametrize(("test", "expected"), [(inside_closed, 5), (inside_open, 1)])
+def test_edges_belong_to_closed_rectangles_only(spark, test, expected):
+    points = spark.createDataFrame(POINTS, "x double, y double")
+    assert points.where(test(F.col("x"), F.col("y"), RECT)).count() == expected
+
+
+def test_reversed_rectangles_hold_nothing(spark):
+    points = spark.createDataFrame(POINTS, "x double, y double")
+    assert points.where(inside_closed(F.col("x"), F.col("y"), QueryRect(10, 5, 0, 0))).isEmpty()
+
+
+def test_rect_from_json_carries_time():
+    rect = QueryRect.from_json({"spatial_reference": {"projection": "EPSG:4326", "x1": -1, "x2": 2, "y1": -3, "y2": 4}, "temporal_reference": {"type": "UNIX", "start": 0}})
+    assert rect == QueryRect(-1, -3, 2, 4, "EPSG:4326", 0, None)
+
+
+def test_attribute_contract(spark):
+    rows = spark.createDataFrame([("1.5", "a"), (None, None), ("x", "")], "n string, t string")
+    got = rows.select(a.numeric(F.col("n"), "n"), a.textual(F.col("t"), "t"))
+    values = [(r["n"], r["t"]) for r in got.collect()]
+    assert values[0] == (1.5, "a") and math.isnan(values[1][0]) and values[1][1] == "" and math.isnan(values[2][0])
+    assert got.schema["n"].metadata == {"unit": "unknown"}
+
+
+def test_hard_cast_raises(spark):
+    rows = spark.createDataFrame([("x",)], "n string")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        rows.select(a.numeric(F.col("n"), "n", tolerant=False)).collect()
+
+
+def test_path_hash_is_the_sha1_of_the_path(spark):
+    path = "/DataSets/DataSet/Units/Unit/UnitID"
+    assert a.path_hash(path) == "adf8c075f2c6b97eaab5cee8f22e97abfdaf6b71"
+    assert spark.range(1).select(F.sha1(F.lit(path).cast("binary"))).first()[0] == a.path_hash(path)
+
+
+@pytest.mark.parametrize("params", [{}, {"columns": []}, {"columns": {"textual": []}}, {"columns": {"numeric": []}}, {"columns": {"numeric": "a", "textual": []}}])
+def test_columns_must_be_two_lists(params):
+    with pytest.raises(ValueError, match="columns"):
+        a.check_columns(params)
+
+
+def test_whitelist():
+    assert len(set(a.OCCURRENCE_COLUMNS)) == 44
+    with pytest.raises(ValueError, match="no column"):
+        a.check_columns({"columns": {"numeric": ["height"], "textual": []}}, a.OCCURRENCE_COLUMNS)

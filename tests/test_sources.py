@@ -1,0 +1,134 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from geoloom.functions.attributes import path_hash
+from geoloom.functions.rect import QueryRect
+from geoloom.operators import taxa
+from geoloom.sources import archive, occurrence, tabular
+
+WORLD = QueryRect(-180, -90, 180, 90)
+COLOUR = "/DataSets/DataSet/Units/Unit/Colour"
+WEIGHT = "/DataSets/DataSet/Units/Unit/Weight"
+
+
+@pytest.fixture(scope="module")
+def datasets(spark):
+    rows = [(1, "a, \"b\"", "cite", None, "free"), (2, "other", None, "u", None)]
+    return spark.createDataFrame(rows, f"surrogate_key long, dataset_id string, `{path_hash(archive.CITATION)}` string, `{path_hash(archive.URI)}` string, `{path_hash(archive.LICENSE)}` string")
+
+
+@pytest.fixture(scope="module")
+def units(spark):
+    rows = [(1, "u{1}", 10.0, 20.0, "red", "1.5"), (1, "u,2", 180.0, 90.0, None, None), (1, "u3", None, 1.0, "x", "2"), (2, "u{1}", 1.0, 1.0, "b", "3"), (1, "u4", 181.0, 0.0, "b", "3")]
+    schema = f"surrogate_key long, `{path_hash(archive.UNIT_ID)}` string, `{path_hash(archive.LONGITUDE)}` double, `{path_hash(archive.LATITUDE)}` double, `{path_hash(COLOUR)}` string, `{path_hash(WEIGHT)}` string"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_archive_points(datasets, units):
+    rows = archive.archive_points(datasets, units, 'a, "b"', WORLD, [WEIGHT], [COLOUR]).orderBy("x").collect()
+    assert [(r["x"], r["y"], r[COLOUR]) for r in rows] == [(10.0, 20.0, "red"), (180.0, 90.0, "")]
+    assert rows[0][WEIGHT] == 1.5 and math.isnan(rows[1][WEIGHT])
+
+
+@pytest.mark.parametrize(("ids", "expected"), [(["u{1}", "u{1}"], 1), (["u,2", "u{1}"], 2), ([], 2), (None, 2), (["none"], 0)])
+def test_unit_ids_are_a_set(datasets, units, ids, expected):
+    assert archive.archive_points(datasets, units, 'a, "b"', WORLD, [], [], ids).count() == expected
+
+
+def test_many_unit_ids(datasets, units):
+    assert archive.archive_points(datasets, units, 'a, "b"', WORLD, [], [], [f"n{i}" for i in range(1500)] + ["u,2"]).count() == 1
+
+
+def test_sample(spark):
+    rows = spark.range(20_000)
+    assert archive.sample_to(rows, 20_000).count() == 20_000
+    assert 800 < archive.sample_to(rows, 1000).count() < 1200
+    assert archive.sample_to(rows.limit(0), 10).isEmpty()
+
+
+def test_archive_provenance(datasets):
+    row = archive.archive_provenance(datasets, 'a, "b"').first()
+    assert (row["citation"], row["license"], row["uri"], row["local_identifier"]) == ("cite", "free", "", "data.archive_source")
+    with pytest.raises(ValueError, match="does not exist"):
+        archive.archive_provenance(datasets, "none")
+
+
+@pytest.fixture(scope="module")
+def terms(spark):
+    return spark.createDataFrame([(1, "Felis", "genus"), (1, "felis catus", "genus"), (2, "Felis", "family"), (3, "Fe%x", "genus")], "taxon long, term string, level string")
+
+
+@pytest.mark.parametrize(("term", "level", "expected"), [("FEL", "Genus", {1}), ("fel", "FAMILY", {2}), ("fe%", "genus", {1, 3}), ("f_l", "genus", {1}), ("canis", "genus", set())])
+def test_taxa_by_prefix(terms, term, level, expected):
+    found = taxa.resolve_taxa(terms, term, level)
+    assert {r[0] for r in found.collect()} == expected and found.count() == len(expected)
+
+
+def test_names_and_counts(spark, terms):
+    names = spark.createDataFrame([(1, "Felis Catus"), (1, "felis catus"), (1, ""), (9, "z")], "taxon long, name string")
+    found = taxa.resolve_taxa_names(names, taxa.resolve_taxa(terms, "fel", "genus"))
+    assert [r[0] for r in found.collect()] == ["felis catus"]
+    ranges = spark.createDataFrame([("Felis catus", "POINT(2 2)"), ("FELIS CATUS", "POINT(1 1)"), ("x", "POINT(0 0)")], "binomial string, geometry_wkt string")
+    assert taxa.count_ranges(ranges, found).first()[0] == 2
+    assert occurrence.occurrence_ranges(ranges, found).first()[0] == "GEOMETRYCOLLECTION(POINT(1 1),POINT(2 2))"
+    assert occurrence.occurrence_ranges(ranges, found.limit(0)).isEmpty()
+    narrow = spark.createDataFrame([(1, 1.0, 1.0), (1, None, 1.0), (2, 1.0, 1.0)], "taxon long, x double, y double")
+    assert taxa.count_occurrences(narrow, taxa.resolve_taxa(terms, "fel", "genus")).first()[0] == 1
+
+
+def test_search_keeps_repeats_and_sorts(terms):
+    assert [r[0] for r in taxa.search_species(terms.unionByName(terms), "fel", "genus").collect()] == ["Felis", "Felis", "felis catus", "felis catus"]
+    with pytest.raises(ValueError, match="3 characters"):
+        taxa.search_species(terms, "fe", "genus")
+
+
+def test_occurrences_choose_their_table(spark, terms):
+    found = taxa.resolve_taxa(terms, "fel", "genus", distinct=False)
+    wide = spark.createDataFrame([(1, "1.0", "2.0", "x", "b"), (1, "0", "2.0", "3", None)], "taxonkey long, decimallongitude string, decimallatitude string, depth string, basisofrecord string")
+    narrow = spark.createDataFrame([(1, 5.0, 1.0), (1, 10.0, 1.0), (2, 1.0, 1.0)], "taxon long, x double, y double")
+    assert [tuple(r) for r in occurrence.occurrence_points(wide, narrow, found, QueryRect(0, 0, 10, 10), [], []).collect()] == [(5.0, 1.0)]
+    row = occurrence.occurrence_points(wide, narrow, found, QueryRect(0, 0, 10, 10), ["depth"], ["basisofrecord"]).collect()
+    assert len(row) == 1 and math.isnan(row[0]["depth"]) and row[0]["basisofrecord"] == "b"
+    with pytest.raises(ValueError, match="no column"):
+        occurrence.occurrence_points(wide, narrow, found, WORLD, ["height"], [])
+
+
+def test_occurrence_provenance(spark, terms):
+    narrow = spark.createDataFrame([(1, "k"), (1, "k"), (2, "l")], "taxon long, uid string")
+    sets = spark.createDataFrame([("k", "c", "u"), ("l", "d", "v")], "key string, citation string, uri string")
+    rows = occurrence.occurrence_provenance(spark, "GBIF", narrow, sets, taxa.resolve_taxa(terms, "fel", "genus")).collect()
+    assert [(r["citation"], r["license"], r["uri"]) for r in rows] == [("c", "", "u")]
+    assert occurrence.occurrence_provenance(spark, "gbif", narrow, sets, None).first()["uri"] == occurrence.RANGE_URI
+
+
+@pytest.mark.parametrize(("text", "rest"), [("/* c\nd */\nh1\th2\n1\t2\n", "1\t2\n"), ("h1\th2\n1\t2\n", "1\t2\n"), ("/* c */\r\nh\n1\n", "h\n1\n"), ("", ""), ("h\n", "")])
+def test_preamble(spark, text, rest):
+    assert spark.createDataFrame([(text,)], "t string").select(tabular.strip_preamble(F.col("t"))).first()[0] == rest
+
+
+def test_header():
+    assert tabular.header(["a", 'b "c"'], "\t") == '"a"\t"b "c""'
+
+
+TABLE = "h\n1\t2\t5\n3\tbad\t6\n4\t5\tno\n\t7\t8\n"
+
+
+@pytest.mark.parametrize(("how", "expected"), [("skip", [(1.0, 2.0)]), ("keep", [(1.0, 2.0), (3.0, None), (4.0, 5.0), (None, 7.0)])])
+def test_rows_that_cannot_be_read(spark, how, expected):
+    rows = tabular.rows_of(spark.createDataFrame([(TABLE,)], "t string"), "t", ["a", "b", "n"], "\t")
+    got = tabular.features(rows, {"columns": {"x": "a", "y": "b", "numeric": ["n"]}, "on_error": how}, WORLD)
+    assert sorted(((r["x"], r["y"]) for r in got.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_abort_raises(spark):
+    rows = tabular.rows_of(spark.createDataFrame([(TABLE,)], "t string"), "t", ["a", "b", "n"], "\t")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        tabular.features(rows, {"columns": {"x": "a", "y": "b"}, "on_error": "abort"}, WORLD).collect()
+
+
+def test_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.tab").write_text("/* x */\nh\n1;2\n")
+    (tmp_path / "b.tab").write_text("h\n3;4\n")
+    assert sorted(tuple(r) for r in tabular.table_files(spark, str(tmp_path), ["a", "b"], ";").collect()) == [("1", "2"), ("3", "4")]
