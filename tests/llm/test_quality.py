@@ -1,0 +1,109 @@
+import itertools
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from geoloom.llm import quality
+
+
+def brute_counts(text):
+    text = text or ""
+    spaces = " \t\n\x0b\x0c\r"
+    flat = "".join(" " if c in spaces else c for c in text)
+    words = [w for w in flat.split(" ") if w]
+    seen, dups = [], 0
+    for line in text.split("\n"):
+        if line.strip(spaces):
+            dups += line in seen
+            seen.append(line)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    many = {w for w, n in Counter(windows).items() if n > 1}
+    covered = {i + k for i, w in enumerate(windows) if w in many for k in range(5)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dups, len(covered)
+
+
+def rows_of(df):
+    keys = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return sorted((tuple(r[k] for k in keys) for r in df.collect()), key=str)
+
+
+def test_counts_against_brute_force(edge, sample, nothing):
+    for docs in (edge, sample):
+        got = quality.assess(docs, quality.LENIENT)
+        assert rows_of(got) == sorted(((r["doc_id"], *brute_counts(r["text"])) for r in docs.collect()), key=str)
+        for r in got.collect():
+            assert r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]) and not (r["base_failed"] and r["kept"])
+    assert quality.assess(nothing, quality.LENIENT).isEmpty()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", "\n", "|"]), max_size=60))
+def test_any_text(parts):
+    text = " ".join(parts)
+    raw = text.encode()
+    _, words, again = quality.lines_of(raw)
+    c = quality.count(text, raw, words, again)
+    assert (c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words) == brute_counts(text)
+
+
+def test_viterbi_finds_the_best_path():
+    rng = np.random.default_rng(1)
+    model = quality.Crf(rng.normal(size=(2, len(quality.FEATURES))), rng.normal(size=(2, 2)), rng.normal(size=2))
+    pick = random.Random(2)
+    for n in range(1, 8):
+        masks = [pick.getrandbits(len(quality.FEATURES)) for _ in range(n)]
+
+        def score(path, masks=masks):
+            return model.begin[path[0]] + sum(model.scores(m)[y] for m, y in zip(masks, path, strict=True)) + sum(model.step[a, b] for a, b in zip(path, path[1:], strict=False))
+
+        best = max(itertools.product((0, 1), repeat=n), key=score)
+        assert score(tuple(model.decode(masks))) == pytest.approx(score(best))
+    assert model.decode([]) == []
+
+
+def likelihood(model, examples):
+    total = 0.0
+    for masks, y in examples:
+        scores = {}
+        for path in itertools.product((0, 1), repeat=len(masks)):
+            scores[path] = model.begin[path[0]] + sum(model.scores(m)[k] for m, k in zip(masks, path, strict=True)) + sum(model.step[a, b] for a, b in zip(path, path[1:], strict=False))
+        total += scores[(y,) * len(masks)] - np.logaddexp.reduce(list(scores.values()))
+    return total
+
+
+def test_training_raises_the_likelihood():
+    examples = [([1, 3, 1], 1), ([5, 1], 1), ([16 + 1, 32 + 1, 1], 0), ([64 + 1], 0), ([1], 1), ([17, 17], 0)]
+    few, many = (quality.fit(examples, rounds=n, penalty=0.1) for n in (1, 150))
+    assert likelihood(many, examples) > likelihood(few, examples) > -sum(np.log(2) * len(m) for m, _ in examples)
+    assert [many.decode(m)[0] for m, _ in examples].count(1) >= 2
+
+
+def test_one_kind_of_label_keeps_all(spark, sample):
+    labels = spark.createDataFrame([(0, 1), (1, 1), (None, 0)], "doc_id long, quality int")
+    assert quality.train(sample, labels) is quality.LENIENT
+    assert quality.train(sample, labels.limit(0)) is quality.LENIENT
+    assert quality.fit([]) is quality.LENIENT
+
+
+def test_labelled_documents(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    train_on, held = labels.where("doc_id % 3 != 0"), labels.where("doc_id % 3 = 0")
+    model = quality.train(docs, train_on)
+    got = quality.assess(docs, model).join(held, "doc_id").where("not base_failed or quality = 1").collect()
+    judged = [r for r in got if not r["base_failed"]]
+    assert len(judged) > 60 and np.mean([r["kept"] == bool(r["quality"]) for r in judged]) > 0.95
+    assert quality.train(docs, train_on).emit.tolist() == model.emit.tolist()
+    kept = quality.keep_good(docs, model)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in quality.assess(docs, model).where("kept").collect())
+
+
+def test_filter_handles_odd_rows(edge, nothing):
+    kept = quality.keep_good(edge, quality.LENIENT)
+    assert kept.schema == edge.schema and quality.keep_good(nothing, quality.LENIENT).isEmpty()
+    assert kept.where("text is null").isEmpty()
