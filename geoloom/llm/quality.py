@@ -223,7 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 600, most_lines:
         return lambda texts: {"masks": [masks(*lines_of(t.encode())) for t in texts]}
 
     found = map_rows(rows, start, ["__id", "__label"], "__body", "masks array<int>").where(F.size("masks").between(1, most_lines))
-    return fit([(list(r["masks"]), r["__label"]) for r in found.sort("__id").collect()])
+    rows = found.limit(4 * per_class).collect()  # ids may repeat
+    return fit([(list(r["masks"]), r["__label"]) for r in sorted(rows, key=lambda r: (r["__id"], r["masks"]))])
 
 
 #: A document is kept if at least this share of its words stands in lines of content.
