@@ -40,6 +40,36 @@ def test_entries(spark, documents, available):
     assert (rows[2]["data_link"], rows[2]["unit_id"]) == ("d1", "u1") and rows[1]["authors"] == ["a"]
 
 
+def test_documents_of_entries(spark, documents, available):
+    meta = spark.createDataFrame([("10.1/x", json.dumps(META))], "doi string, json string")
+    found = catalog.baskets(documents.where("basket_id in ('b', 'c')"))
+    made = {r["basket_id"]: json.loads(r["json"]) for r in catalog.basket_documents(found, catalog.typed_entries(found, available, meta)).collect()}
+    assert made["c"] == {"query": "deep", "timestamp": "2021", "results": []}
+    table, first = made["b"]["results"][:2]
+    assert made["b"]["query"] == "k" and len(made["b"]["results"]) == 6
+    assert (table["type"], table["geometrySpecification"], table["column_x"], table["isTabSeparated"], table["doi"]) == ("pangaea", "XY", "Longitude", True, "10.1/x")
+    assert first["type"] == "abcd" and first["unitId"] == "" and "doi" not in first and "column_x" not in first and first["resultType"] == "points"
+
+
+def test_remote_baskets(spark, available):
+    documents = catalog.fetch_basket(spark, lambda q: json.dumps(BASKET) if q == "basketID=b" else "", "b")
+    assert catalog.basket_entries(documents, available, "b", "me").count() == 5
+    for call in (lambda: catalog.fetch_basket(spark, lambda q: "<html>", "b"), lambda: catalog.fetch_baskets(spark, lambda q: "{", "me")):
+        with pytest.raises(RuntimeError, match="no JSON"):
+            call()
+
+
+def test_values(spark):
+    names = spark.createDataFrame([("b",), ("a",), ("b",)], "term string")
+    assert json.loads(catalog.values_document(names, "speciesNames").first()[0]) == {"speciesNames": ["a", "b", "b"]}
+
+
+def test_tables_of_a_folder(spark, sf_dir):
+    from geoloom.sources.tables import from_folder
+
+    assert set(from_folder(spark, sf_dir, ["region", "nation"])["nation"].columns) == {"n_nationkey", "n_name", "n_regionkey"}
+
+
 def test_access(documents, available):
     with pytest.raises(PermissionError, match="Access denied"):
         catalog.basket_entries(documents, available, "b", "you")
