@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The ASCII white space that separates words everywhere in this subpackage.
 SPACE = r"\x20\x09-\x0D"
@@ -27,6 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once in an application, unless the path that they share has it already."""
+    root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
+    known = map(os.path.realpath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))
+    if app in _shipped or str(root) in known or root.suffix == ".zip":
+        return
+    folder = tempfile.mkdtemp(prefix="geoloom-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/geoloom", "zip", root, "geoloom"))
+    _shipped.add(app)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow, with this package at hand in the tasks."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there, and a lost executor costs no rows."""
     spark = df.sparkSession
@@ -72,7 +96,7 @@ def map_rows(
                 arrays += [pa.array(out[f.name], type=ARROW[f.dataType.simpleString()]) for f in added]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *added.names])
 
-    return picked.mapInArrow(run, schema)
+    return map_arrow(picked, run, schema)
 
 
 ARROW = {
@@ -110,4 +134,4 @@ def filter_rows(df: DataFrame, start: Callable[[], Callable[[list[str]], list[bo
                 keeps = step([t or "" for t in part.column(at_text).to_pylist()])
                 yield part.filter(pa.array([bool(k) for k in keeps], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)

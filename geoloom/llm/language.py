@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, filter_rows, groups, id_remainder, map_rows
+from geoloom.llm.common import documents, filter_rows, groups, id_remainder, map_arrow, map_rows
 
 #: Buckets of hashed n-grams, and the orders of n-grams.
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
@@ -91,7 +91,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, np.ndarra
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], n), pa.int64())], names=["bucket", "n"])
 
-    sums = picked.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = map_arrow(picked, run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out, n = np.zeros(BUCKETS), 0
     for r in sums.collect():  # BUCKETS + 1 rows at most
         if r["bucket"] < 0:

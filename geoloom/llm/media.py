@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, groups, materialize
+from geoloom.llm.common import documents, groups, map_arrow, materialize
 
 # Fixed values of the transport stream format.
 PACKET, SYNC = 188, 0x47
@@ -231,7 +231,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 arrays = [part.column(0), pa.array(list(map(len, raws)), pa.int64()), pa.array([mux(pad(r)) for r in raws], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_bytes", "media"])
 
-    return picked.mapInArrow(run, f"{picked.select(id_col).schema[0].simpleString().replace(':', ' ', 1)}, {MEDIA}")
+    return map_arrow(picked, run, f"{picked.select(id_col).schema[0].simpleString().replace(':', ' ', 1)}, {MEDIA}")
 
 
 def describe(n_bytes: int, media: bytes) -> list:
@@ -264,7 +264,7 @@ def media_features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 found = [describe(n, m or b"") for n, m in zip(sizes[at : at + 64], batch.column(2).slice(at, 64).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 64), *(pa.array(x, k) for x, k in zip(zip(*found, strict=True), KINDS, strict=True))], names=[id_col, *NAMES])
 
-    return picked.mapInArrow(run, f"{picked.select(id_col).schema[0].simpleString().replace(':', ' ', 1)}, {FEATURES}")
+    return map_arrow(picked, run, f"{picked.select(id_col).schema[0].simpleString().replace(':', ' ', 1)}, {FEATURES}")
 
 
 NAMES = [x.split()[0] for x in FEATURES.split(", ")]

@@ -9,7 +9,7 @@ from array import array
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm.common import documents, map_rows
+from geoloom.llm.common import documents, map_arrow, map_rows
 from geoloom.llm.prefix_bpe import Bounded, PrefixDP
 
 MARK = "▁"  # stands for a space
@@ -125,7 +125,7 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
             texts = [None if x is None else codec.decode(np.frombuffer(x, "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return picked.mapInArrow(run, picked.select(id_col).schema.add("text", "string"))
+    return map_arrow(picked, run, picked.select(id_col).schema.add("text", "string"))
 
 
 def model_path() -> str:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, groups, shared_dir
+from geoloom.llm.common import documents, groups, map_arrow, shared_dir
 from geoloom.llm.prefix_bpe import Bounded
 
 BLOCK = "shard int, block int, dict_sha256 string, width int, data binary, doc_ids array<bigint>, offsets array<bigint>, befores array<bigint>, n_ids bigint"
@@ -204,7 +204,7 @@ def write_store(
         if ids:
             yield flush()
 
-    rows.mapInArrow(run, BLOCK).write.option("compression", "none").parquet(store.blocks)
+    map_arrow(rows, run, BLOCK).write.option("compression", "none").parquet(store.blocks)
     return store
 
 
@@ -255,7 +255,7 @@ def read_store(spark: SparkSession, store: Store) -> DataFrame:
                     names=["doc_id", "shard", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return blocks.mapInArrow(run, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(blocks, run, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(spark: SparkSession, store: Store, wanted: list[int]) -> dict[int, list[list[int]]]:
