@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from geoloom.llm import language, mixing, pieces, quality, simhash
 from geoloom.llm.common import documents, materialize
 
-#: A document's language must be told with this score.
-LEAST_SCORE = 0.4
+#: A document's language must be told with this score: low, as short and mixed clean documents score little.
+LEAST_SCORE = 0.3
 #: Share of the words that the mixture may take, in per cent, and how often a document may be taken.
 PERCENT, EPOCHS = 90, 1
 
