@@ -29,7 +29,7 @@ from geoloom.llm.prefix_bpe import Bounded
 BLOCK = "shard int, block int, dict_sha256 string, width int, data binary, doc_ids array<bigint>, offsets array<bigint>, befores array<bigint>, n_ids bigint"
 #: Bytes of compressed frames in a block.
 BLOCK_BYTES = 1 << 20
-LEVEL = 3
+LEVEL = 1
 
 
 class WordIds:
