@@ -19,8 +19,9 @@ from geoloom.llm.common import WORD, documents, materialize
 LEVELS = ("domain", "language", "source")
 WHOLE = "decimal(38,0)"
 
-#: Hex digits of the order key that bin a leaf's documents; only the bin in which the budget ends is put in order.
-BIN_DIGITS = 3
+#: Hex digits of the order key that bin a leaf's documents, and how often: of 256 bins the one in which the budget ends is
+#: binned again, and of that one's bins a single one is put in order.
+BIN_DIGITS, BIN_LEVELS = 2, 2
 
 #: Weights of the query: (level, name, weight). A name that isn't listed has the weight of '*', or 1.
 TARGETS = [("domain", "curated", 60), ("domain", "web", 40), ("language", "en", 40), ("language", "de", 25), ("language", "fr", 20), ("language", "es", 15), ("source", "src0", 2)]
@@ -84,16 +85,24 @@ def cutoffs(counted: DataFrame, targets: list[tuple[str, str, int]], percent: in
     leaves = materialize(counted.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "leaves")
     plan = budgets(leaves, targets, percent, epochs)
     plan = materialize(plan.where("budget > 0 and tokens > 0").selectExpr(*names, "budget div tokens as __epochs", "budget % tokens as __rest"), "budgets")
-    keyed = _leaf_join(counted, plan.where("__rest > 0")).withColumn("__key", order_key(seed, F.col("__epochs"), F.col("__id"))).withColumn("__bin", F.substring("__key", 1, BIN_DIGITS))
-    bins = keyed.groupBy(*names, "__bin").agg(F.sum("tokens").alias("n"), F.first("__rest").alias("__rest"))
-    through = F.sum("n").over(Window.partitionBy(*names).orderBy("__bin"))
-    ends = bins.withColumn("__through", through).where("__through > __rest and __through - n <= __rest and n > 0").selectExpr(*names, "__bin as __last", "__through - n as __before")
-    ends = materialize(ends, "bins")
-    inside = _leaf_join(keyed, ends).where("__bin = __last").groupBy(*names, "__key").agg(F.sum("tokens").alias("n"), F.first("__rest").alias("__rest"), F.first("__before").alias("__before"))
+    key = order_key(seed, F.col("__epochs"), F.col("__id"))
+    cut = plan.where("__rest > 0").select(*names, "__epochs", "__rest", F.lit("").alias("__bin"), F.lit(0).cast("long").alias("__before"))
+    for depth in range(1, BIN_LEVELS + 1):  # narrow down the bin in which each leaf's budget ends
+        bins = _inside(counted, cut, key).groupBy(*names, F.substring("__key", 1, depth * BIN_DIGITS).alias("__bin"))
+        bins = bins.agg(F.sum("tokens").alias("n"), *[F.first(c).alias(c) for c in ("__epochs", "__rest", "__before")])
+        through = F.col("__before") + F.sum("n").over(Window.partitionBy(*names).orderBy("__bin"))
+        ends = bins.withColumn("__through", through).where("__through > __rest and __through - n <= __rest and n > 0")
+        cut = materialize(ends.select(*names, "__epochs", "__rest", "__bin", (F.col("__through") - F.col("n")).alias("__before")), "bins")
+    last = _inside(counted, cut, key).groupBy(*names, "__key").agg(F.sum("tokens").alias("n"), *[F.first(c).alias(c) for c in ("__rest", "__before")])
     upto = F.col("__before") + F.sum("n").over(Window.partitionBy(*names).orderBy("__key"))
-    last = inside.withColumn("__upto", upto).where("__upto <= __rest").groupBy(*names).agg(F.max("__key").alias("__key"))
-    cut = F.coalesce("__key", "__last", F.lit("")).alias("__cutoff")
-    return materialize(plan.join(ends, names, "left").join(last, names, "left").select(*names, "__epochs", cut), "cutoffs")
+    last = last.withColumn("__upto", upto).where("__upto <= __rest").groupBy(*names).agg(F.max("__key").alias("__key"))
+    ends = cut.select(*names, "__bin").join(last, names, "left").select(*names, F.coalesce("__key", "__bin").alias("__cut"))
+    return materialize(plan.join(ends, names, "left").select(*names, "__epochs", F.coalesce("__cut", F.lit("")).alias("__cutoff")), "cutoffs")
+
+
+def _inside(counted: DataFrame, cut: DataFrame, key: Column) -> DataFrame:
+    """The rows in each leaf's bin, with their keys. All of a leaf's keys are longer than its bin, and no key equals one."""
+    return _leaf_join(counted, cut).withColumn("__key", key).where(F.col("__key").startswith(F.col("__bin")))
 
 
 def mix(
