@@ -19,7 +19,7 @@ SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 
 #: Bytes of text that a Python task looks at together.
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -20,7 +20,7 @@ class PrefixDP:
     """
 
     #: Entries of the table of token pairs before it is begun anew.
-    PAIRS = 1_000_000
+    PAIRS = 500_000
 
     def __init__(self, vocab: dict, rank: Callable):
         self.vocab, self.rank = vocab, rank
