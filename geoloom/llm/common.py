@@ -32,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _shipped: set[str] = set()
+_written: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -56,6 +57,7 @@ def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,6 +70,24 @@ def id_remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: Hashes are taken modulo this where rows are picked by them: fine enough for any number of rows.
+HASH_RANGE = 1 << 40
+
+
+def picked_by_hash(salt: str, *columns: str, share: Column | float) -> Column:
+    """Whether a row is among about share of all rows, by a hash of its columns."""
+    place = F.pmod(F.xxhash64(F.lit(salt), *columns), F.lit(HASH_RANGE))
+    return place < F.ceil((share if isinstance(share, Column) else F.lit(float(share))) * HASH_RANGE)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete what materialize() wrote in this application. To be called when the results that rest on it are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def map_rows(
     df: DataFrame,
     start: Callable[[], Callable[[list[str]], dict[str, list]]],

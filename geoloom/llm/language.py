@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, filter_rows, groups, id_remainder, map_arrow, map_rows
+from geoloom.llm.common import documents, filter_rows, groups, id_remainder, map_arrow, map_rows, picked_by_hash
 
 #: Buckets of hashed n-grams, and the orders of n-grams.
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
@@ -156,9 +156,8 @@ def train(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text
         return Model([], np.ones(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
     n, seen = document_frequencies(known, "__body")
     idf = np.log((1 + n) / (1 + seen)) + 1
-    place = F.pmod(F.xxhash64(F.lit("language"), "__id", F.length("__body")), F.lit(1_000_000))
-    limits = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(1_000_000 * min(1.0, per_language / sizes[k])) + 1))])
-    sample = known.where(place < F.try_element_at(limits, F.col("__lang"))).withColumn("__place", place)
+    shares = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))])
+    sample = known.where(picked_by_hash("language", "__id", share=F.try_element_at(shares, F.col("__lang")))).withColumn("__place", F.xxhash64(F.lit("language"), "__id"))
 
     def start():
         def step(texts):

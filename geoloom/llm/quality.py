@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, filter_rows, map_rows
+from geoloom.llm.common import documents, filter_rows, map_rows, picked_by_hash
 
 #: Signs that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 600, most_lines:
     if len(sizes) < 2:
         return LENIENT
     part = F.coalesce(*[F.when(F.col("__label") == y, F.lit(min(1.0, per_class / n))) for y, n in sizes.items()])
-    picked = known.where(F.pmod(F.xxhash64(F.lit("quality"), "__id"), F.lit(1_000_000)) < part * 1_000_000).limit(4 * per_class)
+    picked = known.where(picked_by_hash("quality", "__id", share=part)).limit(4 * per_class)
     ids = {r["__id"]: r["__label"] for r in picked.collect()}
     if not ids:
         return LENIENT

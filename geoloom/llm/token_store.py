@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, groups, map_arrow, shared_dir
+from geoloom.llm.common import documents, groups, map_arrow, picked_by_hash, shared_dir
 from geoloom.llm.prefix_bpe import Bounded
 
 BLOCK = "shard int, block int, dict_sha256 string, width int, data binary, doc_ids array<bigint>, offsets array<bigint>, befores array<bigint>, n_ids bigint"
@@ -131,8 +131,7 @@ def sample_texts(docs: DataFrame, id_col: str, text_col: str, most: int, longest
     n = docs.count()
     if not n:
         return []
-    picked = F.pmod(F.xxhash64(F.lit("dictionary"), F.col(id_col)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / n)) + 1
-    rows = docs.where(picked & (F.length(text_col) <= longest)).select(text_col).limit(2 * most).collect()
+    rows = docs.where(picked_by_hash("dictionary", id_col, share=min(1.0, most / n)) & (F.length(text_col) <= longest)).select(text_col).limit(2 * most).collect()
     return sorted(r[0] for r in rows if r[0])
 
 

@@ -45,3 +45,18 @@ def test_groups_hold_whole_texts(spark):
 def test_url_parts(spark):
     rows = spark.createDataFrame([("HTTP://A.B/c?d",), (None,)], "u string").select(url_filter.host_of(F.col("u")), url_filter.path_of(F.col("u")))
     assert [tuple(r) for r in rows.collect()] == [("a.b", "/c"), ("", "")]
+
+
+def test_rows_picked_by_hash(spark):
+    rows = spark.range(100_000)
+    assert 400 < rows.where(common.picked_by_hash("a", "id", share=0.005)).count() < 600
+    assert rows.where(common.picked_by_hash("a", "id", share=1.0)).count() == 100_000
+    assert rows.where(common.picked_by_hash("a", "id", share=F.lit(0.0))).isEmpty()
+
+
+def test_tables_can_be_removed(spark):
+    common.remove_tables(spark)
+    df = common.materialize(spark.range(5), "numbers")
+    path = df.inputFiles()[0].removeprefix("file://")
+    common.remove_tables(spark)
+    assert not os.path.exists(path)
