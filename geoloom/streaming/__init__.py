@@ -1 +1 @@
-"""Part of geoloom."""
+"""Empty on purpose: there are no stream operators to reproduce. Rectangles, attributes and the table resolver take streaming DataFrames as they are (see tests/test_streaming.py)."""
