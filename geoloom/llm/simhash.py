@@ -64,7 +64,8 @@ def links(distinct: DataFrame, fp_col: str = "fp") -> DataFrame:
     ball = [fp]
     for segment in range(SEGMENTS):
         ball += [fp.bitwiseXOR(F.lit(_signed(1 << segment * width + bit))) for bit in range(width)]
-    entries = distinct.select(fp.alias("fp"), F.explode(F.array(*ball)).alias("entry"))
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 65: spread them first
+    entries = distinct.repartition(tasks, fp).select(fp.alias("fp"), F.explode(F.array(*ball)).alias("entry"))
     near = entries.select("fp", F.lag("fp").over(Window.partitionBy("entry").orderBy("fp")).alias("before"))
     verified = F.bit_count(F.col("fp").bitwiseXOR(F.col("before"))) <= RADIUS
     return near.where(F.col("before").isNotNull() & (F.col("before") < F.col("fp")) & verified).select(F.col("before").alias("a"), F.col("fp").alias("b")).distinct()
