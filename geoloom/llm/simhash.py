@@ -4,14 +4,14 @@ Links. A fingerprint is cut into SEGMENTS parts. For each part the Hamming ball
 the other parts as they are, and entered into one table. Two fingerprints that differ in 2 bits or fewer share an entry:
 either one of them is in the other's ball, or each is one bit from the fingerprint between them. And all fingerprints
 at one entry are within 2 bits of each other, so a table entry holds at most 65 of them, whatever the data: no segment value
-can gather a whole group of near copies, as it does in tables keyed by a segment alone. Neighbours in an entry's order are
-linked after their complete distance is verified; they link the whole entry, and no pairs of a group are written out.
+can gather a whole group of near copies, as it does in tables keyed by a segment alone. All of an entry are linked to its
+smallest after their complete distance is verified, and no pairs of a group are written out.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import documents, map_rows, materialize
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def links(distinct: DataFrame, fp_col: str = "fp") -> DataFrame:
-    """Pairs (a, b), a < b, of fingerprints within RADIUS bits, enough of them to connect all that are linked."""
+    """Pairs (a, b), a < b, of fingerprints within RADIUS bits, enough of them to connect all that are linked; some repeat."""
     width = BITS // SEGMENTS
     fp = F.col(fp_col)
     ball = [fp]
@@ -66,46 +66,44 @@ def links(distinct: DataFrame, fp_col: str = "fp") -> DataFrame:
         ball += [fp.bitwiseXOR(F.lit(_signed(1 << segment * width + bit))) for bit in range(width)]
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 65: spread them first
     entries = distinct.repartition(tasks, fp).select(fp.alias("fp"), F.explode(F.array(*ball)).alias("entry"))
-    near = entries.select("fp", F.lag("fp").over(Window.partitionBy("entry").orderBy("fp")).alias("before"))
-    verified = F.bit_count(F.col("fp").bitwiseXOR(F.col("before"))) <= RADIUS
-    return near.where(F.col("before").isNotNull() & (F.col("before") < F.col("fp")) & verified).select(F.col("before").alias("a"), F.col("fp").alias("b")).distinct()
+    near = entries.select("fp", F.min("fp").over(Window.partitionBy("entry")).alias("least"))
+    verified = F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= RADIUS
+    return near.where((F.col("least") < F.col("fp")) & verified).select(F.col("least").alias("a"), F.col("fp").alias("b"))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node and root (the smallest node that can be reached) of every node with an edge; edges: a and b, any order.
+def stars(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """u and m (the smallest node that can be reached) of every node that isn't the smallest; edges: a and b, any order, repeats.
 
-    Alternates two steps until nothing changes: each node hands its larger neighbours to its smallest one, then its smaller
-    neighbours. Each step is a table in the shared folder. Minima are pre-aggregated and written before they are joined:
+    Alternates two steps until all components are stars: each node hands its larger neighbours to its smallest one, then its
+    smaller neighbours. Each step is a table in the shared folder. Minima are pre-aggregated and written before they are joined:
     adaptive execution splits such plain equi-joins, so a node with very many neighbours needs no task of its own.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    state = _state(now)
+    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v"), "edges")
+    if now.isEmpty():
+        return now.select("u", F.col("v").alias("m"))
     for _ in range(rounds):
-        if not state[0]:
-            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") < F.col("u")).alias("moved"))
+        large = materialize(large, "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top"), F.max("moved").alias("moved"))
+        seen = Observation()
+        low = materialize(low.observe(seen, F.count_if(F.col("moved") | (F.col("m") < F.col("top"))).alias("open")).select("u", "m"), "low")
+        if not seen.get["open"]:  # nothing was handed on, and no node has two smaller neighbours
+            return low
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         now = materialize(small.where("u > v").distinct(), "edges")
-        before, state = state, _state(now)
-        if state == before:
-            break
-    else:
-        raise RuntimeError("components have not settled")
-    roots = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    raise RuntimeError("components have not settled")
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Number of edges and two sums over them: the same if and only if (but for chance) the edges are the same."""
-    mix = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.sum(mix.cast("decimal(38,0)")), F.sum(F.pmod(mix, F.lit(1_000_003)))).first())
+def components(edges: DataFrame) -> DataFrame:
+    """node and root (the smallest node that can be reached) of every node with an edge; edges as in stars()."""
+    found = stars(edges)
+    return found.select(F.col("u").alias("node"), F.col("m").alias("root")).unionByName(found.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,8 +115,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "classes")
-    found = components(links(classes))
-    rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    found = stars(links(classes))
+    rooted = classes.join(found, classes["fp"] == found["u"], "left").select("fp", "first", F.coalesce("m", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
     firsts = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
     table = materialize(rooted.join(firsts, "root").select("fp", "component_id"), "membership")
