@@ -90,6 +90,14 @@ def test_components_of_chains_and_stars(spark):
     assert simhash.components(spark.createDataFrame([], "a long, b long")).isEmpty()
 
 
+def test_stars_of_repeated_edges_and_loops(spark):
+    edges = [(1, 2), (2, 1), (1, 2), (3, 3), (2, 4), (4, 7), (7, 4), (9, 8)]
+    got = sorted(map(tuple, simhash.stars(spark.createDataFrame(edges, "a long, b long")).select("u", "m").collect()))
+    assert got == [(2, 1), (4, 1), (7, 1), (9, 8)]
+    loops = spark.createDataFrame([(3, 3)], "a long, b long")
+    assert simhash.stars(loops).isEmpty() and simhash.components(loops).isEmpty()
+
+
 def test_one_of_each_group_stays(edge, sample):
     kept = simhash.keep_one(sample)
     groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(sample).collect()}
