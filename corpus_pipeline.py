@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import language, mixing, pieces, quality, simhash
+from geoloom.llm import language, mixing, near_copies, pieces, quality
 from geoloom.llm.common import documents, materialize
 
 #: A document's language must be told with this score: low, as short and mixed clean documents score little.
 LEAST_SCORE = 0.3
+#: Texts are near-duplicates whose sets of shingles of so many words have this Jaccard similarity or more.
+SHINGLE, SIMILARITY = 5, 0.8
 #: Share of the words that the mixture may take, in per cent, and how often a document may be taken.
 PERCENT, EPOCHS = 90, 1
 
@@ -29,8 +31,8 @@ def rate_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near-duplicates the document with the smallest id stays: five words, a similarity of 0.8 or more."""
+    return near_copies.keep_one_copy(docs, SHINGLE, SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
