@@ -3,8 +3,8 @@
 A text is a sequence of words and one end. A word comes from two sources. With the discounted share of its own training
 count it comes as a whole. With the rest it is spelt from the pieces of an existing vocabulary: a first piece, which bears
 the mark of a word's beginning, further pieces, and a stop; every segmentation counts, and a forward recursion in log space
-sums them. The vocabulary's own scores weight the pieces at first; counts of best segmentations, over a small sample of the
-training words to start with and then over all distinct ones, set their probabilities. Both sources are proper distributions, so the probabilities of all texts sum to 1.
+sums them. The vocabulary's own scores weight the pieces at first; counts of best segmentations over all
+distinct training words, in several rounds, set their probabilities. Both sources are proper distributions, so the probabilities of all texts sum to 1.
 
 Counts are joined to texts by chunks of documents, not by documents: each chunk asks once for each of its distinct words.
 """
@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, groups, id_remainder, map_arrow, materialize, picked_by_hash
+from geoloom.llm.common import documents, groups, id_remainder, map_arrow, materialize
 
 MARK = "▁"
 #: A chunk of documents is closed beyond so many tokens or distinct words.
@@ -206,18 +206,8 @@ def pack(docs: DataFrame, held_out: Column, id_col: str, text_col: str) -> DataF
     return map_arrow(picked, run, PACKED)
 
 
-#: Distinct words, at most twice as many, from which the first segmentations learn; the counts that are used cover all words.
-WARM_WORDS, WARM_ROUNDS = 30_000, 3
-
-
-def _first_counts(words: DataFrame, own: Vocabulary, known: int) -> Counter:
-    """Piece counts that start the segmentation, from a bounded sample of the training words, picked by hash."""
-    picked = picked_by_hash("words", "word", share=min(1.0, WARM_WORDS / max(1, known)))
-    rows = words.where((F.col("c") > 0) & picked).select("word").limit(2 * WARM_WORDS).collect()
-    order, counts = sorted(bytes(r[0]).decode() for r in rows), Counter()
-    for _ in range(WARM_ROUNDS):
-        counts = Lattice(own, log_probabilities(own, counts)).best_counts(order)
-    return counts
+#: Rounds of best segmentations that set the pieces' probabilities; each is over all distinct training words.
+ROUNDS = 4
 
 
 def _piece_counts(words: DataFrame, shared) -> Counter:
@@ -234,6 +224,14 @@ def _piece_counts(words: DataFrame, shared) -> Counter:
     return Counter({r["event"]: r["n"] for r in sums.collect()})  # no more rows than the vocabulary has pieces
 
 
+def _learned_counts(words: DataFrame, own: Vocabulary) -> Counter:
+    """Piece counts after ROUNDS rounds over all words, the first from the vocabulary's own scores."""
+    counts: Counter = Counter()
+    for _ in range(ROUNDS):
+        counts = _piece_counts(words, words.sparkSession.sparkContext.broadcast((own, log_probabilities(own, counts))))
+    return counts
+
+
 @dataclass
 class Mass:
     """Sums over the training tokens that turn counts into probabilities."""
@@ -284,7 +282,7 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str, id_col: str = "doc
     mass = Mass(w["n"] + ends, w["v"] + (ends > 0), ends, w["v"], w["once"], w["twice"])
 
     own = Vocabulary.load(vocabulary)
-    counts = _piece_counts(words.where("c > 0"), spark.sparkContext.broadcast((own, log_probabilities(own, _first_counts(words, own, mass.known)))))
+    counts = _learned_counts(words.where("c > 0"), own)
     model = spark.sparkContext.broadcast((own, log_probabilities(own, counts)))  # as large as the vocabulary
 
     def spell(batches):

@@ -113,3 +113,12 @@ def test_all_tokens_share_one_unit_of_probability():
     known = 10 ** mass.word(counts, np.full(20, math.log(1 / 40)))
     novel = 10 ** mass.word(np.array([0.0]), np.array([math.log(0.5)]))
     assert known.sum() + novel[0] + 10**mass.end == pytest.approx(1)
+
+
+def test_every_round_is_over_all_words(spark):
+    words = sorted({f"w{i * 7919 % 100003}" for i in range(32_000)} | {f"the{i}ing" for i in range(4_000)})
+    own, want = lm.Vocabulary.load(PIECES), Counter()
+    for _ in range(lm.ROUNDS):
+        want = lm.Lattice(own, lm.log_probabilities(own, want)).best_counts(words)
+    table = spark.createDataFrame([(w.encode(), 1) for w in words], "word binary, c long")
+    assert lm._learned_counts(table, own) == want
