@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,27 +27,49 @@ GROUP_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a temporary one is made if all run
+    on this machine (tests); on a cluster that is an error, as a machine's own folder would lose rows."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="geoloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-_shipped: set[str] = set()
+_shipped: set[tuple[str, str]] = set()
 _written: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once in an application, unless the path that they share has it already."""
+    """Send this package to the executors, once in an application; the archive goes when the driver ends."""
     root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
-    known = map(os.path.realpath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep)))
-    if app in _shipped or str(root) in known or root.suffix == ".zip":
+    if (app, "") in _shipped or root.suffix == ".zip":
         return
     folder = tempfile.mkdtemp(prefix="geoloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/geoloom", "zip", root, "geoloom"))
-    _shipped.add(app)
+    _shipped.add((app, ""))
+
+
+@dataclass(frozen=True)
+class ShippedFile:
+    """A file that every executor has a copy of."""
+
+    name: str
+
+    def path(self) -> str:
+        return SparkFiles.get(self.name)
+
+
+def ship_file(spark: SparkSession, path: str) -> ShippedFile:
+    """Send one file of the driver's machine, such as a vocabulary, to the executors, once in an application."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _shipped:
+        spark.sparkContext.addFile(path)
+        _shipped.add(key)
+    return ShippedFile(Path(path).name)
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
@@ -56,8 +82,8 @@ def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there, and a lost executor costs no rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    written(path)
     df.write.option("compression", codec).parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,11 +106,21 @@ def picked_by_hash(salt: str, *columns: str, share: Column | float) -> Column:
     return place < F.ceil((share if isinstance(share, Column) else F.lit(float(share))) * HASH_RANGE)
 
 
-def remove_tables(spark: SparkSession) -> None:
-    """Delete what materialize() wrote in this application. To be called when the results that rest on it are written."""
+def written(path: str | None = None) -> int:
+    """Note a path for remove_tables(); the number of paths noted before."""
+    if path:
+        _written.append(path)
+    return len(_written) - bool(path)
+
+
+def remove_tables(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete what materialize() and the token store wrote in this application, from the since-th path on but for the last
+    keep ones. To be called when the results that rest on it are written."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    gone = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -95,7 +131,7 @@ def map_rows(
     text_col: str,
     fields: str,
 ) -> DataFrame:
-    """Keep columns and add fields, made in Python from groups of whole texts.
+    """Keep columns and add fields, made in Python from groups of whole texts. No rows in, no rows out.
 
     start() runs once in each task and returns a function of texts that returns the new columns. Null texts reach it as "". Groups hold GROUP_BYTES of text or one longer text, so memory follows the longest text.
     """
@@ -127,9 +163,6 @@ ARROW = {
 
 def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """(first, count) of runs of rows with about GROUP_BYTES of text each."""
-    import numpy as np
-    import pyarrow.compute as pc
-
     if not len(texts):
         return
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
@@ -142,7 +175,8 @@ def groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def filter_rows(df: DataFrame, start: Callable[[], Callable[[list[str]], list[bool]]], text_col: str) -> DataFrame:
-    """The rows of df, with all their columns, whose whole text passes; start() as in map_rows, its function says which pass."""
+    """The rows of df, with all their columns, whose whole text passes; start() as in map_rows, its function says which pass.
+    Null texts reach it as ""; rows that repeat pass or go together; no rows in, no rows out."""
     at_text = df.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,22 +1,30 @@
 """SimHash near-duplicates: fingerprints, links by multi-index hashing, and connected components.
 
-Links. A fingerprint is cut into SEGMENTS parts. For each part the Hamming ball of radius 1 within it is enumerated, with
-the other parts as they are, and entered into one table. Two fingerprints that differ in 2 bits or fewer share an entry:
-either one of them is in the other's ball, or each is one bit from the fingerprint between them. And all fingerprints
-at one entry are within 2 bits of each other, so a table entry holds at most 65 of them, whatever the data: no segment value
-can gather a whole group of near copies, as it does in tables keyed by a segment alone. All of an entry are linked to its
-smallest after their complete distance is verified, and no pairs of a group are written out.
+Links. A fingerprint is cut into SEGMENTS parts, each with a table of its own that is keyed by the part's value. Two
+fingerprints within RADIUS bits differ by no more than radii()[k] bits in some part k: with two parts, either not at all in the
+first or by one bit at most in the second. So each fingerprint enumerates a small Hamming ball within each part, fetches the
+table's rows at these values, and the complete distance of each candidate is verified; most candidates fail it.
+
+A value that more than BUCKET fingerprints share (a group of near copies, whatever its size) is not compared pair by pair:
+its rows are split by the rest of the fingerprint, whose balls are enumerated in the same way from both sides. Then all that
+meet at an entry are within RADIUS of each other, so an entry holds few, and linking them to the smallest loses no link.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 import numpy as np
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import documents, map_rows, materialize
 
-BITS, SEGMENTS, RADIUS = 64, 4, 2
+BITS, SEGMENTS, RADIUS = 64, 2, 2
+ALL = (1 << BITS) - 1
+#: Fingerprints that may share a segment's value and still be compared one by one.
+BUCKET = 32
 SHINGLE = 3
 SEED = 42
 
@@ -44,12 +52,12 @@ def fingerprint(text: bytes, n: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(table), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp (the 64 bits as a signed long) of each whole text. Null and empty texts: 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
+    """id and fp (the 64 bits as a signed long) of each whole text. Null and empty texts: 0. One row out for each row in."""
 
     def start():
         def step(texts):
-            found = np.fromiter((fingerprint(t.encode()) for t in texts), np.uint64, len(texts))
+            found = np.fromiter((fingerprint(t.encode(), n) for t in texts), np.uint64, len(texts))
             return {"fp": found.view(np.int64)}
 
         return step
@@ -57,24 +65,91 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(docs, start, [id_col], text_col, "fp long")
 
 
-def links(distinct: DataFrame, fp_col: str = "fp") -> DataFrame:
-    """Pairs (a, b), a < b, of fingerprints within RADIUS bits, enough of them to connect all that are linked; some repeat."""
-    width = BITS // SEGMENTS
-    fp = F.col(fp_col)
-    ball = [fp]
-    for segment in range(SEGMENTS):
-        ball += [fp.bitwiseXOR(F.lit(_signed(1 << segment * width + bit))) for bit in range(width)]
-    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each row becomes 65: spread them first
-    entries = distinct.repartition(tasks, fp).select(fp.alias("fp"), F.explode(F.array(*ball)).alias("entry"))
-    near = entries.select("fp", F.min("fp").over(Window.partitionBy("entry")).alias("least"))
-    verified = F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= RADIUS
-    return near.where((F.col("least") < F.col("fp")) & verified).select(F.col("least").alias("a"), F.col("fp").alias("b"))
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def segments(count: int = SEGMENTS) -> list[int]:
+    """The masks of count segments, from the lowest bits up."""
+    cuts = [BITS * k // count for k in range(count + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def radii(count: int = SEGMENTS, radius: int = RADIUS) -> list[int]:
+    """The radius of the ball in each segment. Fingerprints further apart than these in every segment differ by more than
+    radius bits, as sum(r + 1) > radius."""
+    if not 1 <= count <= radius + 1:
+        raise ValueError(f"1 to {radius + 1} segments are of use")
+    extra = radius + 1 - count
+    return [extra // count + (k < extra % count) for k in reversed(range(count))]
+
+
+def ball(mask: int, radius: int) -> list[int]:
+    """All changes of up to radius of the mask's bits."""
+    bits = [1 << b for b in range(BITS) if mask >> b & 1]
+    return [reduce(int.__or__, flips, 0) for r in range(radius + 1) for flips in combinations(bits, r)]
+
+
+def _changed(value: Column, changes: list[int]) -> Column:
+    return F.transform(F.array(*[F.lit(_signed(c)) for c in changes]), lambda c: value.bitwiseXOR(c))
+
+
+def _near(a: Column, b: Column) -> Column:
+    """The complete distance of two fingerprints, verified."""
+    return F.bit_count(a.bitwiseXOR(b)) <= RADIUS
+
+
+def tables(distinct: DataFrame, count: int = SEGMENTS, fp_col: str = "fp") -> DataFrame:
+    """The segment tables in one: segment, value (the fingerprint's bits in it), fp."""
+    fp = F.col(fp_col)
+    rows = F.array(*[F.struct(F.lit(k).alias("segment"), fp.bitwiseAND(F.lit(_signed(m))).alias("value")) for k, m in enumerate(segments(count))])
+    return distinct.select(F.explode(rows).alias("s"), fp.alias("fp")).select("s.segment", "s.value", "fp")
+
+
+def probes(table: DataFrame, count: int = SEGMENTS) -> DataFrame:
+    """The values at which each fingerprint looks into each segment's table: those of its ball that are not below its own, as
+    the other of a pair looks up from below. Columns: segment, value, fp, own."""
+    near = F.array().cast("array<bigint>")
+    for k, (mask, radius) in reversed(list(enumerate(zip(segments(count), radii(count), strict=True)))):
+        near = F.when(F.col("segment") == k, _changed(F.col("value"), ball(mask, radius))).otherwise(near)
+    return table.select("segment", F.explode(F.filter(near, lambda v: v >= F.col("value"))).alias("value"), "fp", F.col("value").alias("own"))
+
+
+def crowded(table: DataFrame) -> DataFrame:
+    """segment and value of those that more than BUCKET fingerprints have."""
+    return table.groupBy("segment", "value").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("segment", "value")
+
+
+def candidates(distinct: DataFrame, full: DataFrame, count: int = SEGMENTS) -> DataFrame:
+    """Pairs (fp, other) that some segment's table brings together, before their distance is known. The crowded values, full,
+    are left to crowded_links()."""
+    table = tables(distinct, count)
+    held = table.join(full, ["segment", "value"], "left_anti").withColumnRenamed("fp", "other")
+    once = (F.col("own") < F.col("value")) | (F.col("fp") < F.col("other"))
+    return probes(table, count).join(held, ["segment", "value"]).where(once).select("fp", "other")
+
+
+def crowded_links(distinct: DataFrame, full: DataFrame, count: int = SEGMENTS) -> DataFrame:
+    """Links (a, b) between fingerprints that meet at a crowded value. Its own fingerprints enter the ball of radius 1 in all
+    other bits; those that look in from one bit away enter their other bits as they are."""
+    met = probes(tables(distinct, count), count).join(full, ["segment", "value"])
+    entry = F.array().cast("array<bigint>")
+    for k, mask in reversed(list(enumerate(segments(count)))):
+        rest = F.col("fp").bitwiseAND(F.lit(_signed(~mask & ALL)))
+        entry = F.when(F.col("segment") == k, F.when(F.col("own") == F.col("value"), _changed(rest, ball(~mask & ALL, 1))).otherwise(F.array(rest))).otherwise(entry)
+    entries = met.select("fp", "segment", "value", F.explode(entry).alias("entry"))
+    least = entries.select("fp", F.min("fp").over(Window.partitionBy("segment", "value", "entry")).alias("least"))
+    return least.where((F.col("least") < F.col("fp")) & _near(F.col("fp"), F.col("least"))).select(F.col("least").alias("a"), F.col("fp").alias("b"))
+
+
+def links(distinct: DataFrame, count: int = SEGMENTS) -> DataFrame:
+    """Pairs (a, b), a < b, of fingerprints (column fp, no repeats) within RADIUS bits, enough of them to connect all that are
+    linked; some repeat."""
+    full = materialize(crowded(tables(distinct, count)), "crowded")
+    pairs = candidates(distinct, full, count).where(_near(F.col("fp"), F.col("other")))
+    return pairs.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).unionByName(crowded_links(distinct, full, count))
+
+
 def stars(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """u and m (the smallest node that can be reached) of every node that isn't the smallest; edges: a and b, any order, repeats.
 

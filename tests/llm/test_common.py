@@ -2,7 +2,9 @@ import os
 import subprocess
 import sys
 from pathlib import Path
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 import geoloom
@@ -56,7 +58,28 @@ def test_rows_picked_by_hash(spark):
 
 def test_tables_can_be_removed(spark):
     common.remove_tables(spark)
-    df = common.materialize(spark.range(5), "numbers")
-    path = df.inputFiles()[0].removeprefix("file://")
+    paths = [common.materialize(spark.range(5), "numbers").inputFiles()[0].removeprefix("file://") for _ in range(3)]
+    common.remove_tables(spark, since=1, keep=1)
+    assert list(map(os.path.exists, paths)) == [True, False, True] and common.written() == 2
     common.remove_tables(spark)
-    assert not os.path.exists(path)
+    assert not any(map(os.path.exists, paths)) and common.written() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    context = SimpleNamespace(master="spark://somewhere:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(SimpleNamespace(conf={}, sparkContext=context))
+
+
+def test_files_reach_the_tasks(spark, tmp_path):
+    (tmp_path / "words.txt").write_text("plum")
+    file = common.ship_file(spark, str(tmp_path / "words.txt"))
+    assert common.ship_file(spark, str(tmp_path / "words.txt")) == file
+
+    def start():
+        with open(file.path()) as f:
+            word = f.read()
+        return lambda texts: {"n": [t.count(word) for t in texts]}
+
+    docs = spark.createDataFrame([(1, "a plum"), (2, None)], "doc_id long, text string")
+    assert sorted(map(tuple, common.map_rows(docs, start, ["doc_id"], "text", "n long").collect())) == [(1, 1), (2, 0)]

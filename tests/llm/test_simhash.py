@@ -1,10 +1,12 @@
 import itertools
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from geoloom.llm import simhash
+from geoloom.llm.common import materialize
 
 
 def brute_print(text):
@@ -55,31 +57,53 @@ def pairs(found):
     return {(r["a"], r["b"]) for r in found.collect()}
 
 
-def test_links_connect_all_that_are_near(spark):
-    rng = random.Random(5)
+def some_prints(rng, groups, size, bits):
     prints = set()
-    for _ in range(12):
+    for _ in range(groups):
         base = rng.getrandbits(64)
-        for _ in range(25):
+        for _ in range(size):
             x = base
-            for bit in rng.sample(range(64), rng.randint(0, 3)):
+            for bit in rng.sample(range(64), rng.randint(0, bits)):
                 x ^= 1 << bit
-            prints.add(x - (1 << 64) if x >> 63 else x)
-    prints |= {rng.getrandbits(63) for _ in range(50)}
-    distinct = spark.createDataFrame([(p,) for p in prints], "fp long")
-    linked = pairs(simhash.links(distinct))
+            prints.add(simhash._signed(x))
+    return prints | {rng.getrandbits(63) for _ in range(50)}
+
+
+@pytest.mark.parametrize(("count", "bucket"), [(1, 32), (2, 32), (2, 1), (3, 32), (3, 2)])
+def test_links_connect_all_that_are_near(spark, monkeypatch, count, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    prints = some_prints(random.Random(5), 8, 25, 3) | some_prints(random.Random(6), 1, 120, 4)
+    distinct = materialize(spark.createDataFrame([(p,) for p in prints], "fp long"), "prints")
+    linked = pairs(simhash.links(distinct, count))
     assert all(bin((a ^ b) & (1 << 64) - 1).count("1") <= 2 for a, b in linked)
     want = brute_groups([(p, p & (1 << 64) - 1) for p in sorted(prints)])
     root = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(list(linked), "a long, b long")).collect()}
     assert all(root.get(p, p) == want[p] for p in prints)
 
 
-def test_links_grow_with_the_fingerprints_not_with_their_pairs(spark):
-    dense = list(range(4096))  # all within 12 bits: 8 million pairs, of which 319 thousand are near
-    found = simhash.links(spark.createDataFrame([(p,) for p in dense], "fp long"))
-    assert found.count() <= (simhash.BITS + 1) * len(dense)
-    root = {r["root"] for r in simhash.components(found).collect()}
-    assert root == {0}
+def test_segments_set_the_candidates_and_most_are_rejected(spark):
+    distinct = materialize(spark.createDataFrame([(p,) for p in some_prints(random.Random(5), 12, 25, 6)], "fp long"), "prints")
+    none = spark.createDataFrame([], "segment int, value long")
+    found = {count: {(min(p), max(p)) for p in map(tuple, simhash.candidates(distinct, none, count).collect())} for count in (1, 2, 3)}
+    near = {p for p in found[3] if bin((p[0] ^ p[1]) & simhash.ALL).count("1") <= 2}
+    assert found[1] == near and near < found[2] and near < found[3] and found[2] != found[3]  # only a single segment has no false ones
+    assert all(near == {p for p in x if bin((p[0] ^ p[1]) & simhash.ALL).count("1") <= 2} for x in found.values())
+    assert pairs(simhash.links(distinct, 2)) == near
+
+
+def test_balls_and_segments():
+    assert [len(simhash.ball(m, r)) for m, r in zip(simhash.segments(2), simhash.radii(2), strict=True)] == [1, 33]
+    assert simhash.radii(1) == [2] and simhash.radii(3) == [0, 0, 0] and sum(simhash.segments(3)) == simhash.ALL
+    with pytest.raises(ValueError, match="segments"):
+        simhash.radii(4)
+
+
+@pytest.mark.parametrize("count", [2, 3])
+def test_links_grow_with_the_fingerprints_not_with_their_pairs(spark, count):
+    dense = materialize(spark.createDataFrame([(p,) for p in range(4096)], "fp long"), "dense")  # 8 million pairs share their high bits
+    found = simhash.links(dense, count)
+    assert found.count() <= (simhash.BITS + 1) * 4096
+    assert {r["root"] for r in simhash.components(found).collect()} == {0}
 
 
 def test_components_of_chains_and_stars(spark):
