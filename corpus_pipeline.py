@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm import language, mixing, near_copies, pieces, quality
-from geoloom.llm.common import documents, materialize
+from geoloom.llm.common import documents, materialize, remove_tables, written
 
 #: A document's language must be told with this score: low, as short and mixed clean documents score little.
 LEAST_SCORE = 0.3
@@ -21,17 +21,22 @@ PERCENT, EPOCHS = 90, 1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in no language that can be told, go."""
+    """Documents without letters, or in no language that can be told, go. Null texts go; null ids and repeated rows are judged
+    like any others; without any row that has a language, all go."""
     return language.keep_identified(docs, language.train(docs), LEAST_SCORE)
 
 
 def rate_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, or have too little content, go."""
+    """Documents that fail the rules, or have too little content, go. Null and empty texts go; null ids and repeated rows are
+    judged like any others; without labels of both kinds only the rules count."""
     return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays: five words, a similarity of 0.8 or more."""
+    """Of each group of near-duplicates the document with the smallest id stays: five words, a similarity of 0.8 or more.
+
+    SimHash links come first, each confirmed; bands of MinHash values find what is beyond their radius (see near_copies). Null
+    texts, texts without words, null ids and repeated rows: as near_copies.keep_one_copy says."""
     return near_copies.keep_one_copy(docs, SHINGLE, SIMILARITY)
 
 
@@ -61,8 +66,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
-    docs = documents(spark, sf_dir)
+    """All stages over the documents of sf_dir. What a stage wrote goes once its result is written."""
+    docs, since = documents(spark, sf_dir), written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        remove_tables(spark, since, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,38 +1,37 @@
-"""Near copies by exact similarity of shingle sets: candidates by MinHash bands, each confirmed, then connected components.
-
-Texts with equal sets of shingles are one class and cost no pairs. Classes that share a band are candidates. First each class
-is compared with one smaller class that it meets. Then only bands whose classes are still in different components are looked
-at, and there all pairs of different components are compared: pairs inside a component can't connect anything more, so none
-is left out. Only two texts that are similar and share none of BANDS bands are missed: at a similarity of 0.8 with a chance of
-(1 - 0.8 ** ROWS) ** BANDS = 5e-8 a pair, less above.
+"""Near copies by exact similarity of shingle sets: the pipeline's form of operator 3.
+
+Texts with equal sets of shingles are one class and cost no pairs. First the classes' SimHash fingerprints over the same shingles
+are linked by multi-index hashing (simhash.links), and each link is confirmed by the exact Jaccard similarity. Fingerprints
+of texts at a similarity of 0.8 differ by about 10 of 64 bits, beyond any ball that can be enumerated, so that pass can't be all:
+classes that share a band of MinHash values are candidates too. Only two texts that are similar, share none of BANDS bands and
+aren't linked through others are missed: at a similarity of 0.8 with a chance of (1 - 0.8 ** ROWS) ** BANDS = 5e-8 a pair.
+
+Bands are worked off in two rounds. First a few classes of each band, its pivots, are compared with all of the band that
+are in other components, so that a large group of near copies becomes one component. What is left are pairs of different
+components. Most such pairs are texts of one family with too many changes of their own, and an exact bound leaves them out
+unseen: call a word sequence rare if at most RARE of the classes left have it. Two sets that share no rare shingle share no
+more than the smaller one's common shingles; if that is too little for the similarity, they aren't compared. Sets that share
+a rare shingle are found by a join on it.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import map_rows, materialize
-from geoloom.llm.simhash import stars
+from geoloom.llm.simhash import bit_majority, links, shingle_digests, stars
 
 BANDS, ROWS = 32, 4
 SEED = 42
+#: Pivots that a band is expected to have in the first round, and classes that a rare shingle may have.
+PIVOTS, RARE = 4, 16
 
 
 def shingle_hashes(text: bytes, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of n words of a UTF-8 text; words as in simhash. Fewer than n words: one shingle
-    of them all. No words: none."""
-    import xxhash
-
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[: max(1, len(words) - n + 1)].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[i:j], SEED) for i, j in zip(starts, ends[min(n, len(words)) - 1 :].tolist(), strict=True)], np.uint64))
+    """Sorted distinct hashes of the shingles of n words of a UTF-8 text, as in simhash. No words: none."""
+    return np.unique(shingle_digests(text, n))
 
 
 def bands(hashes: np.ndarray, factors: np.ndarray) -> list[int]:
@@ -49,7 +48,8 @@ def bands(hashes: np.ndarray, factors: np.ndarray) -> list[int]:
 
 
 def _mark(docs: DataFrame, n: int, text_col: str) -> DataFrame:
-    """docs with __key (128 bits of the set of shingles), __bands and __row (a number of its own for each row)."""
+    """docs with __key (128 bits of the set of shingles), __size (of the set), __fp (its SimHash), __bands and __row (a number of
+    its own for each row)."""
 
     def start():
         import xxhash
@@ -58,11 +58,12 @@ def _mark(docs: DataFrame, n: int, text_col: str) -> DataFrame:
 
         def step(texts):
             sets = [shingle_hashes(t.encode(), n) for t in texts]
-            return {"__key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "__bands": [bands(s, factors) for s in sets]}
+            prints = np.array([bit_majority(s) for s in sets], np.uint64).view(np.int64)
+            return {"__key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "__size": list(map(len, sets)), "__fp": prints, "__bands": [bands(s, factors) for s in sets]}
 
         return step
 
-    return map_rows(docs, start, docs.columns, text_col, "__key binary, __bands array<bigint>").withColumn("__row", F.monotonically_increasing_id())
+    return map_rows(docs, start, docs.columns, text_col, "__key binary, __size long, __fp long, __bands array<bigint>").withColumn("__row", F.monotonically_increasing_id())
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -72,6 +73,56 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return pairs.join(a, "a").join(b, "b").where(both / (F.size("of_a") + F.size("of_b") - both) >= similarity).select("a", "b")
 
 
+def _by_fingerprint(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of keys: classes of one fingerprint to their smallest, and smallest ones of fingerprints that link."""
+    prints = materialize(classes.groupBy("fp").agg(F.min("__key").alias("least")), "prints")
+    same = classes.join(prints, "fp").where(F.col("least") < F.col("__key")).select(F.col("least").alias("a"), F.col("__key").alias("b"))
+    found = materialize(links(prints.select("fp")).distinct(), "links")
+    a, b = prints.select(F.col("fp").alias("a"), F.col("least").alias("x")), prints.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+    return same.unionByName(found.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def _sides(rows: DataFrame, other: DataFrame, more: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two copies of classes for a join of pairs: band, a and b (keys), and their roots, places and sizes."""
+    pick = lambda df, name: df.select("band", F.col("__key").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("root", "place", "size", *([more] if more else []))])
+    return pick(rows, "a"), pick(other, "b")
+
+
+def _apart(similarity: float) -> Column:
+    """Whether two sets are of different components, and of sizes that allow the similarity."""
+    return (F.col("root_a") != F.col("root_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity)
+
+
+def _pivot_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of pivots and the classes of their bands."""
+    a, b = _sides(met.where(F.col("place") * F.col("n") < PIVOTS), met)
+    return a.join(b, "band").where(_apart(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _last_pairs(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that share a band, are in different components and may be similar. left: band, __key, root, place, size, n."""
+    own = left.select("__key", "root", "place", "size").distinct()
+    shingles = own.join(sets, "__key").select("__key", "root", "place", "size", F.explode("hashes").alias("band"))
+    seen = shingles.groupBy("band").agg(F.count("*").alias("have"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("have > 1 and (have > %d or lo < hi)" % RARE)
+    seen = materialize(shingles.join(seen.select("band", "have"), "band"), "shingles")
+    a, b = _sides(seen.where(F.col("have") <= RARE), seen.where(F.col("have") <= RARE))
+    rare = a.join(b, "band").where(_apart(similarity) & (F.col("a") < F.col("b"))).select("a", "b")
+    common = materialize(seen.where(F.col("have") > RARE).groupBy("__key").agg(F.count("*").alias("common")), "common")
+    a, b = _sides(left.join(common, "__key"), left.join(common, "__key"), "common")
+    enough = F.least("common_a", "common_b") * (1 + similarity) >= (F.col("size_a") + F.col("size_b")) * (similarity - 1e-9)
+    pairs = a.join(b, "band").where(_apart(similarity) & enough & (F.col("a") < F.col("b"))).select("a", "b")
+    return rare.unionByName(pairs).distinct()
+
+
+def _place(key: Column) -> Column:
+    """A place of its own for each class, the same in all its bands, evenly spread between 0 and 1."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40)).cast("double") / (1 << 40)
+
+
+def _rooted(rows: DataFrame, root: DataFrame) -> DataFrame:
+    return rows.join(root, rows["__key"] == root["u"], "left").withColumn("root", F.coalesce("m", "__key")).drop("u", "m")
+
+
 def keep_one_copy(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near copies: of each component of texts with Jaccard similarity of at least similarity over
     shingles of n words one row stays, that with the smallest id, then the smallest hash of its text.
@@ -81,31 +132,32 @@ def keep_one_copy(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col:
     """
     marked = materialize(_mark(docs, n, text_col), "marked", "zstd")
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col("__row").alias("row"))
-    classes = materialize(marked.groupBy("__key").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.any_value("__bands").alias("bands")), "classes")
-
-    entries = classes.select("__key", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.min("__key").alias("least"), F.max("__key").alias("most")).where("least < most").select("band", "least")
-    met = materialize(entries.join(shared, "band"), "met")
-    chosen = classes.join(met.select("__key").distinct(), "__key").select(F.col("first.row").alias("__row"))
+    classes = materialize(marked.groupBy("__key").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.any_value("__size").alias("size"), F.any_value("__fp").alias("fp"), F.any_value("__bands").alias("bands")), "classes")
+
+    entries = classes.select("__key", "size", F.explode("bands").alias("band"))
+    shared = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(entries.join(shared, "band").withColumn("place", _place(F.col("__key"))), "met")
+    close = materialize(_by_fingerprint(classes.select("__key", "fp")), "close")
+    chosen = met.select("__key").union(close.select(F.explode(F.array("a", "b")))).distinct()
+    chosen = classes.join(chosen, "__key").select(F.col("first.row").alias("__row"))
     texts = marked.select("__key", "__row", text_col).join(chosen, "__row")
 
     def start():
         return lambda found: {"hashes": [shingle_hashes(t.encode(), n).view(np.int64) for t in found]}
 
-    sets = materialize(map_rows(texts, start, ["__key"], text_col, "hashes array<bigint>"), "sets")
-    linear = met.where(F.col("least") < F.col("__key")).groupBy(F.col("__key").alias("b")).agg(F.min("least").alias("a"))
-    near = materialize(_confirmed(linear, sets, similarity), "near")
-
+    sets = materialize(map_rows(texts, start, ["__key"], text_col, "hashes array<bigint>"), "sets", "zstd")
+    near = materialize(_confirmed(close, sets, similarity), "near")
+    placed = materialize(_rooted(met, stars(near)), "placed")
+    pairs = materialize(_pivot_pairs(placed, similarity), "pivots")
+    near = near.unionByName(materialize(_confirmed(pairs, sets, similarity), "near"))
+    placed = _rooted(met, stars(near))
+    several = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.col("place") * F.col("n")).alias("top"))
+    left = materialize(placed.join(several.where((F.col("lo") < F.col("hi")) & (F.col("top") >= PIVOTS)).select("band"), "band"), "left")
+    pairs = materialize(_last_pairs(left, sets, similarity), "last")
+    near = near.unionByName(materialize(_confirmed(pairs, sets, similarity), "near"))
     root = stars(near)
-    placed = met.join(root, met["__key"] == root["u"], "left").select("band", "__key", F.coalesce("m", "__key").alias("root"))
-    open_bands = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-    left = materialize(placed.join(open_bands, "band"), "left")
-    one, other = left.select("band", F.col("__key").alias("a"), F.col("root").alias("of")), left.select("band", F.col("__key").alias("b"), "root")
-    rest = materialize(one.join(other, "band").where("of < root").select("a", "b").distinct(), "rest")
-    near = near.unionByName(materialize(_confirmed(rest, sets, similarity), "near"))
 
-    root = stars(near)
-    rooted = materialize(classes.join(root, classes["__key"] == root["u"], "left").select("__key", "first", "n", F.coalesce("m", "__key").alias("root")), "rooted")
+    rooted = materialize(_rooted(classes.select("__key", "first", "n"), root), "rooted")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("rows")).where("rows > 1")
     table = materialize(rooted.join(firsts, "root").select("__key", F.col("stays.row").alias("stays")), "copies")
     gone = marked.select("__key", "__row").join(table, "__key").where("__row != stays").select("__row")

@@ -29,27 +29,33 @@ SHINGLE = 3
 SEED = 42
 
 
-def fingerprint(text: bytes, n: int = SHINGLE) -> int:
-    """The fingerprint of a UTF-8 text: A-Z lower-cased, ASCII-space separated words, shingles of n words with repeats.
-
-    Fewer than n words: one shingle of them all. No words: 0. A bit is 1 if set in more than half of the hashes.
-    """
+def shingle_digests(text: bytes, n: int) -> np.ndarray:
+    """XXH64 of each shingle of n words of a UTF-8 text, in order, with repeats: A-Z lower-cased, ASCII-space separated words.
+    Fewer than n words: one shingle of them all. No words: none."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes) - 1
     starts = (ends + 1 - sizes)[: max(1, len(words) - n + 1)].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(line[i:j], SEED) for i, j in zip(starts, ends[min(n, len(words)) - 1 :].tolist(), strict=True)]
-    table = np.array(hashes, "<u8")
+    return np.array([digest(line[i:j], SEED) for i, j in zip(starts, ends[min(n, len(words)) - 1 :].tolist(), strict=True)], "<u8")
+
+
+def bit_majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in more than half of the hashes; 0 without any."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(table), 1 << 16):
-        ones += np.unpackbits(table[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(table), bitorder="little").tobytes(), "little")
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes, n: int = SHINGLE) -> int:
+    """The fingerprint of a UTF-8 text over its shingles of n words; no words: 0."""
+    return bit_majority(shingle_digests(text, n))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import corpus_pipeline
 from geoloom.llm import near_copies
@@ -46,6 +47,25 @@ def test_chains_and_groups_against_brute_force(spark):
     assert got == brute([{"doc_id": i, "text": t} for i, t in rows])
 
 
+def test_large_families_against_brute_force(spark, monkeypatch):
+    """Groups in which some are near and most have too many changes of their own, with rare and common shingles at small bounds."""
+    monkeypatch.setattr(near_copies, "RARE", 3)
+    monkeypatch.setattr(near_copies, "PIVOTS", 2)
+    rng = random.Random(4)
+    rows = []
+    for f, length in enumerate((60, 90, 140)):
+        base = [f"f{f}w{i}" for i in range(length)]
+        for k in range(90):
+            words = list(base)
+            for _ in range(rng.choice([1, 1, 2, 3, 4, 6])):
+                words[rng.randrange(length)] = rng.choice(["x", "y", f"n{rng.random()}"])
+            rows.append((1000 * f + k, " ".join(words[: rng.choice([length, length, length - 9])])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute([{"doc_id": i, "text": t} for i, t in rows])
+    assert 30 < len(want) < 260
+    assert sorted(r["doc_id"] for r in near_copies.keep_one_copy(docs).collect()) == want
+
+
 def test_rows_of_one_id_and_null_ids(spark, edge, nothing):
     rows = [(1, "a b c"), (1, "a b c"), (1, "z"), (None, "a b c"), (None, "q"), (None, "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

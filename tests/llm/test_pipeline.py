@@ -3,9 +3,9 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from geoloom.llm import language, mixing, quality, simhash
+from geoloom.llm import language, mixing, near_copies, quality, simhash
 from tests.llm.test_mixing import brute as brute_mix
-from tests.llm.test_simhash import brute_groups, brute_print
+from tests.llm.test_near_copies import brute as brute_copies
 
 
 def test_all_queries_are_registered():
@@ -23,8 +23,8 @@ def test_pipeline_against_stages_by_hand(spark, sf_dir):
     rows = [r for r in docs.collect() if (p := model.predict(r["text"]))[0] != "und" and p[1] >= corpus_pipeline.LEAST_SCORE]
     crf = quality.train(docs.where(docs["doc_id"].isin([r["doc_id"] for r in rows])), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = [r for r in rows if quality.judge_text(r["text"], crf)[2]]
-    groups = brute_groups([(r["doc_id"], brute_print(r["text"])) for r in rows])
-    rows = [r for r in rows if groups[r["doc_id"]] == r["doc_id"]]
+    stay = set(brute_copies(rows))
+    rows = [r for r in rows if r["doc_id"] in stay]
     taken = brute_mix(rows, mixing.TARGETS, corpus_pipeline.PERCENT, corpus_pipeline.EPOCHS, mixing.SEED)
     lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = sorted((r["doc_id"], len(lib.encode(r["text"]))) for r in rows if r["doc_id"] in taken)
@@ -43,5 +43,6 @@ def test_stages_take_odd_rows_and_none(spark, edge, nothing, sf_dir, k):
 
 
 def test_near_duplicates_leave_one(spark, sample):
-    once = simhash.keep_one(sample)
-    assert simhash.keep_one(once).count() == once.count()
+    for keep in (simhash.keep_one, near_copies.keep_one_copy):
+        once = keep(sample)
+        assert keep(once).count() == once.count()
