@@ -2,8 +2,9 @@
 
 A stream holds one program: PAT on PID 0, PMT on PID PMT_PID, and one private elementary stream on ES_PID. Each access unit
 of the payload is one PES packet with a time stamp; packets that begin a group of units carry a random-access point and a
-clock reference. Reading trusts nothing that writing knew: program tables are found, checked and followed, continuity is
-counted for each PID, and elementary packets are put together from their parts.
+clock reference, and follow a PAT and a PMT, so that reading can begin there. Reading trusts nothing that writing knew: program
+tables are put together, checked and followed, continuity is counted for each PID, and elementary packets are put together from
+their parts. Time stamps and random-access points are kept beside the features.
 """
 
 from __future__ import annotations
@@ -62,13 +63,14 @@ def section(table: int, key: int, body: bytes) -> bytes:
     return head + body + crc(head + body).to_bytes(4, "big")
 
 
-def table_packet(pid: int, data: bytes) -> bytes:
-    return bytes([SYNC, 0x40 | pid >> 8, pid & 255, 0x10, 0]) + data.ljust(PACKET - 5, b"\xff")
+def table_packet(pid: int, data: bytes, count: int = 0) -> bytes:
+    return bytes([SYNC, 0x40 | pid >> 8, pid & 255, 0x10 | count, 0]) + data.ljust(PACKET - 5, b"\xff")
 
 
-TABLES = table_packet(PAT_PID, section(0, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))) + table_packet(
-    PMT_PID, section(2, PROGRAM, (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\0" + bytes([PRIVATE_PES]) + (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\0")
-)
+PAT = section(0, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
+PMT = section(2, PROGRAM, (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\0" + bytes([PRIVATE_PES]) + (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\0")
+#: The packets of both tables, for each value of their continuity counter.
+TABLES = [table_packet(PAT_PID, PAT, k) + table_packet(PMT_PID, PMT, k) for k in range(16)]
 
 
 def stamp(mark: int, t: int) -> bytes:
@@ -82,14 +84,15 @@ def pad(raw: bytes) -> bytes:
 
 def mux(payload: bytes) -> bytes:
     """The transport stream of a payload."""
-    out, count = [TABLES], 0
+    out, count = [], 0
     for k, at in enumerate(range(0, len(payload), ACCESS_UNIT)):
         unit, pts = payload[at : at + ACCESS_UNIT], (FIRST_PTS + k * TICKS) & (1 << 33) - 1
         pes = b"\0\0\1" + bytes([STREAM_ID]) + (len(unit) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + stamp(2, pts) + unit
         if k % GROUP:
             field_ = b""
         else:
-            base = pts - TICKS  # the clock runs one unit ahead of its first time stamp
+            out.append(TABLES[k // GROUP & 15])
+            base = pts - TICKS & (1 << 33) - 1  # the clock runs one unit ahead of its first time stamp
             field_ = b"\x50" + (base << 15 | 0x7E00).to_bytes(6, "big")
         pos, start = 0, 0x40
         while pos < len(pes):
@@ -115,7 +118,7 @@ class Stream:
     kinds: dict[int, int] = field(default_factory=dict)  # PID: stream type
     gaps: int = 0  # breaks of continuity
     repeats: int = 0
-    damaged: int = 0  # packets without sync, tables with a wrong checksum, elementary packets of a wrong length
+    damaged: int = 0  # packets without sync or with a wrong field, tables that are cut or have a wrong checksum, elementary packets of a wrong length
     data: dict[int, bytes] = field(default_factory=dict)  # PID: payload
     stamps: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # PID: (byte offset in data, time stamp)
     points: list[tuple[int, int]] = field(default_factory=list)  # (packet number, PID) of random-access points
@@ -123,10 +126,11 @@ class Stream:
 
 
 def demux(media: bytes) -> Stream:
-    """Read a transport stream whole. Damage is counted, not raised; what can be put together is."""
+    """Read a transport stream whole. Whatever the bytes are, damage is counted, not raised; what can be put together is."""
     s = Stream(packets=len(media) // PACKET, damaged=int(len(media) % PACKET > 0))
     counters: dict[int, int] = {}
     parts: dict[int, list[bytes]] = {}
+    open_tables: dict[int, bytes] = {}
     done: dict[int, list[bytes]] = defaultdict(list)
     sizes: dict[int, int] = defaultdict(int)
 
@@ -134,16 +138,19 @@ def demux(media: bytes) -> Stream:
         pes = b"".join(parts.pop(pid, ()))
         if not pes:
             return
-        if pes[:3] != b"\0\0\1" or len(pes) < 9:
+        if pes[:3] != b"\0\0\1" or len(pes) < 9 or 9 + pes[8] > len(pes):
             s.damaged += 1
             return
         stated, head = int.from_bytes(pes[4:6], "big"), 9 + pes[8]
         if stated and stated + 6 != len(pes):
             s.damaged += 1
         if pes[7] & 0x80:
-            t = pes[9:14]
-            pts = (t[0] & 14) << 29 | (t[1] << 8 | t[2]) >> 1 << 15 | (t[3] << 8 | t[4]) >> 1
-            s.stamps.setdefault(pid, []).append((sizes[pid], pts))
+            if head < 14:
+                s.damaged += 1
+            else:
+                t = pes[9:14]
+                pts = (t[0] & 14) << 29 | (t[1] << 8 | t[2]) >> 1 << 15 | (t[3] << 8 | t[4]) >> 1
+                s.stamps.setdefault(pid, []).append((sizes[pid], pts))
         body = pes[head : stated + 6 if stated else None]
         done[pid].append(body)
         sizes[pid] += len(body)
@@ -161,13 +168,15 @@ def demux(media: bytes) -> Stream:
         broken = False
         if b3 & 0x20:
             length = media[body]
-            if length:
-                flags = media[body + 1]
-                broken = bool(flags & 0x80)
-                if flags & 0x40:
-                    s.points.append((k, pid))
-                if flags & 0x10:
-                    s.clocks.append(int.from_bytes(media[body + 2 : body + 8], "big") >> 15)
+            flags = media[body + 1] if length else 0
+            if length > PACKET - 5 or (flags & 0x10 and length < 7):
+                s.damaged += 1
+                continue
+            broken = bool(flags & 0x80)
+            if flags & 0x40:
+                s.points.append((k, pid))
+            if flags & 0x10:
+                s.clocks.append(int.from_bytes(media[body + 2 : body + 8], "big") >> 15)
             body += 1 + length
         if not b3 & 0x10:
             continue
@@ -179,10 +188,11 @@ def demux(media: bytes) -> Stream:
                 continue
             if n != before + 1 & 15:
                 s.gaps += 1
+                if open_tables.pop(pid, b""):
+                    s.damaged += 1
         chunk = media[body : at + PACKET]
         if pid == PAT_PID or pid in s.programs.values():
-            if b1 & 0x40:
-                tables(s, pid, chunk[1 + chunk[0] :])
+            sections(s, open_tables, pid, chunk, bool(b1 & 0x40))
         elif pid in s.kinds:
             if b1 & 0x40:
                 end(pid)
@@ -191,20 +201,47 @@ def demux(media: bytes) -> Stream:
                 parts[pid].append(chunk)
     for pid in list(parts):
         end(pid)
+    s.damaged += sum(map(bool, open_tables.values()))
     s.data = {pid: b"".join(x) for pid, x in done.items()}
     return s
 
 
-def tables(s: Stream, pid: int, data: bytes) -> None:
-    """Take the programs or the streams from a table that fits one packet."""
-    size = 3 + ((data[1] & 15) << 8 | data[2]) if len(data) > 2 else 0
-    if size < 12 or size > len(data) or crc(data[:size]):
+def sections(s: Stream, open_tables: dict[int, bytes], pid: int, chunk: bytes, start: bool) -> None:
+    """Take one packet's part of the tables of a PID; open_tables holds what has come of a table that isn't complete. A packet in
+    which a table starts says at its head how many bytes end the one before; stuffing ends the last."""
+    if start:
+        if not chunk or 1 + chunk[0] > len(chunk):
+            s.damaged += 1
+            open_tables.pop(pid, None)
+            return
+        cut = 1 + chunk[0]
+        if open_tables.get(pid) and _complete(s, pid, open_tables.pop(pid) + chunk[1:cut]):
+            s.damaged += 1
+        open_tables[pid] = _complete(s, pid, chunk[cut:])
+    elif open_tables.get(pid):
+        open_tables[pid] = _complete(s, pid, open_tables[pid] + chunk)
+
+
+def _complete(s: Stream, pid: int, data: bytes) -> bytes:
+    """What is left of data after its complete tables are taken; nothing if that is stuffing."""
+    while data and data[0] != 0xFF:
+        if len(data) < 3 or len(data) < (size := 3 + ((data[1] & 15) << 8 | data[2])):
+            return data
+        table(s, pid, data[:size])
+        data = data[size:]
+    return b""
+
+
+def table(s: Stream, pid: int, data: bytes) -> None:
+    """Take the programs or the streams from a whole table."""
+    size, program_map = len(data), len(data) > 0 and data[0] == 2
+    if size < (16 if program_map else 12) or crc(data):
         s.damaged += 1
     elif pid == PAT_PID and data[0] == 0:
         for i in range(8, size - 4, 4):
             if number := data[i] << 8 | data[i + 1]:
                 s.programs[number] = (data[i + 2] & 31) << 8 | data[i + 3]
-    elif data[0] == 2:
+    elif program_map:
         i = 12 + ((data[10] & 15) << 8 | data[11])
         while i + 5 <= size - 4:
             s.kinds[(data[i + 1] & 31) << 8 | data[i + 2]] = data[i]
@@ -272,8 +309,7 @@ KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = materialize(store_media(documents(spark, sf_dir)), "media", codec="zstd")
-    return media_features(stored).drop("pts", "pts_offsets", "access_packets")
+    return media_features(materialize(store_media(documents(spark, sf_dir)), "media", codec="zstd"))
 
 
 QUERIES = {"op10_media": op10_media}
