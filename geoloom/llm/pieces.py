@@ -9,7 +9,7 @@ from array import array
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.llm.common import documents, map_arrow, map_rows
+from geoloom.llm.common import documents, map_arrow, map_rows, ship_file
 from geoloom.llm.prefix_bpe import Bounded, PrefixDP
 
 MARK = "▁"  # stands for a space
@@ -98,8 +98,10 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     gives an empty result; other columns are not read.
     """
 
+    file = ship_file(docs.sparkSession, model)
+
     def start():
-        codec = PieceCodec(model)
+        codec = PieceCodec(file.path())
 
         def step(texts):
             found = codec.encode(texts)
@@ -117,11 +119,12 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     import pyarrow as pa
 
     picked = encoded.select(id_col, ids_col)
+    file = ship_file(encoded.sparkSession, model)
 
     def run(batches):
         codec = None
         for batch in batches:
-            codec = codec or PieceCodec(model)
+            codec = codec or PieceCodec(file.path())
             texts = [None if x is None else codec.decode(np.frombuffer(x, "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 

@@ -23,13 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, groups, map_arrow, picked_by_hash, shared_dir
+from geoloom.llm.common import documents, groups, map_arrow, picked_by_hash, shared_dir, ship_file, written
 from geoloom.llm.prefix_bpe import Bounded
 
 BLOCK = "shard int, block int, dict_sha256 string, width int, data binary, doc_ids array<bigint>, offsets array<bigint>, befores array<bigint>, n_ids bigint"
 #: Bytes of compressed frames in a block.
 BLOCK_BYTES = 1 << 20
-LEVEL = 1
+#: The library's own default.
+LEVEL = 3
 
 
 class WordIds:
@@ -126,20 +127,51 @@ class Store:
     dictionary: str
 
 
-def sample_texts(docs: DataFrame, id_col: str, text_col: str, most: int, longest: int) -> list[str]:
-    """About most texts of up to longest characters, picked by a hash of their ids; at most 2 * most."""
-    n = docs.count()
-    if not n:
+#: Bytes of ids in a sample for the dictionary, and documents looked at for each that a piece is wanted from.
+PIECE_BYTES, SPREAD = 2048, 8
+
+
+def sample_pieces(docs: DataFrame, coder: Callable[[], WordIds], end: bytes, most_bytes: int, id_col: str, text_col: str) -> list[bytes]:
+    """About most_bytes of serialized ids, at most twice as many, as pieces of up to PIECE_BYTES from documents of all lengths.
+
+    Documents, then pieces of them, are picked by hashes, so that each piece of the table has the same chance. The documents
+    are encoded in tasks. A null id counts as any other; repeated rows may give a piece more than once; an empty table
+    gives none.
+    """
+    size = F.length(F.coalesce(F.col(text_col), F.lit(""))) + 1  # ids take about as many bytes as half the characters
+    total = docs.agg(F.sum(size).alias("n")).first()["n"]
+    if not total:
         return []
-    rows = docs.where(picked_by_hash("dictionary", id_col, share=min(1.0, most / n)) & (F.length(text_col) <= longest)).select(text_col).limit(2 * most).collect()
-    return sorted(r[0] for r in rows if r[0])
+    share = min(1.0, 2 * most_bytes / total)
+    some = min(1.0, SPREAD * share)
+    picked = docs.where(picked_by_hash("dictionary", id_col, share=some)).select(F.xxhash64(F.lit("piece"), id_col).alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches):
+        words = coder()
+        for batch in batches:
+            for at, many in groups(batch.column(1)):
+                part = batch.slice(at, many)
+                places, pieces = [], []
+                for place, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist()), strict=True):
+                    ids += end
+                    for k in range(0, len(ids), PIECE_BYTES):
+                        pieces.append(ids[k : k + PIECE_BYTES])
+                        places.append(place ^ k)
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(pieces, pa.binary())], names=["place", "piece"])
+
+    pieces = map_arrow(picked, run, "place long, piece binary").where(picked_by_hash("piece", "place", share=share / some))
+    rows = pieces.orderBy(F.xxhash64("place"), "piece").limit(max(1, 2 * most_bytes // PIECE_BYTES)).collect()
+    return [bytes(r["piece"]) for r in rows]
 
 
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary; none (empty) where the samples are too few to train one."""
-    if len(samples) < 50 or sum(map(len, samples)) < 10 * size:
-        return b""
-    return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
+    """A zstandard dictionary of up to size bytes, a tenth of the samples at most. Samples that are too few or too alike to train
+    on are the dictionary themselves, as raw content, which the library takes as well. No samples: none (empty)."""
+    whole = sum(map(len, samples))
+    try:
+        return zstandard.train_dictionary(max(256, min(size, whole // 10)), samples, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 def write_store(
@@ -149,26 +181,25 @@ def write_store(
     path: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    dictionary_docs: int = 1000,
-    dictionary_chars: int = 8192,
     dictionary_bytes: int = 64 << 10,
+    sample_bytes: int = 2 << 20,
     shards: int | None = None,
 ) -> Store:
     """Encode whole texts, append end_id to each, and write the store under path, in ascending order of the ids.
 
-    The dictionary is trained on a bounded sample: about dictionary_docs documents of up to dictionary_chars characters;
-    it changes the size of the files, never what they hold. Null texts count as empty and keep their end id. Null ids come
-    first. Rows of the same id stay apart, in an order fixed by their texts. An empty table gives an empty store. Other
-    columns are not read.
+    The dictionary has up to dictionary_bytes, trained on a bounded sample of about sample_bytes of serialized ids from texts
+    of all lengths; it changes the size of the files, never what they hold. Every table with a row has one. Ids must be
+    whole numbers (ValueError for other types). Null texts count as empty and keep their end id. Null ids come first. Rows of
+    the same id stay apart, in an order fixed by their texts. An empty table gives an empty store. Other columns are not read.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"the store's index holds whole numbers; {id_col} is {docs.schema[id_col].dataType.simpleString()}")
     spark = docs.sparkSession
     width = width_of(tokenizer)
     kind = np.dtype(f"<u{width}")
     end = np.array([end_id], kind).tobytes()
-    coder = WordIds(tokenizer, width)
-    samples = [x + end for x in coder.encode(sample_texts(docs, id_col, text_col, dictionary_docs, dictionary_chars))]
-    raw = train_dictionary(samples, dictionary_bytes)
-    del coder, samples
+    file = ship_file(spark, tokenizer)
+    raw = train_dictionary(sample_pieces(docs, lambda: WordIds(file.path(), width), end, sample_bytes, id_col, text_col), dictionary_bytes)
     sha = hashlib.sha256(raw).hexdigest()
     store = Store(f"{path}/blocks", f"{path}/dictionary")
     spark.createDataFrame([(sha, bytearray(raw))], "dict_sha256 string, dictionary binary").coalesce(1).write.parquet(store.dictionary)
@@ -179,8 +210,8 @@ def write_store(
 
     def run(batches):
         shard, block, before = TaskContext.get().partitionId(), 0, 0
-        coder = WordIds(tokenizer, width)
-        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
+        coder = WordIds(file.path(), width)
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw))
         data, ids, offsets, befores = bytearray(), [], [], []
 
         def flush():
@@ -222,7 +253,7 @@ def dictionary(spark: SparkSession, store: Store) -> tuple[str, bytes]:
 
 def opener(sha: str, raw: bytes) -> Callable:
     """A function of (a block's dict_sha256, width, frame) that returns the ids."""
-    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
+    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
 
     def ids(stated: str, width: int, frame: bytes) -> np.ndarray:
         if stated != sha:
@@ -233,7 +264,8 @@ def opener(sha: str, raw: bytes) -> Callable:
 
 
 def read_store(spark: SparkSession, store: Store) -> DataFrame:
-    """One row per stored document: doc_id, shard, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """One row per stored document: doc_id, shard, start (ids of all documents before it), n_tokens, ids_crc32. Null ids and rows
+    of one id are rows of their own, as they were written; an empty store gives no rows."""
     sha, raw = dictionary(spark, store)
     blocks = spark.read.schema(BLOCK).parquet(store.blocks)
     # One row for each shard: as many as the store was written with, not as many as there are documents.
@@ -258,7 +290,8 @@ def read_store(spark: SparkSession, store: Store) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, store: Store, wanted: list[int]) -> dict[int, list[list[int]]]:
-    """Ids of a few documents: their blocks are found by the index, and only their own frames are opened."""
+    """Ids of a few documents: their blocks are found by the index, and only their own frames are opened. An id that several rows
+    have gives several lists; one that none has, or an empty store, gives none."""
     sha, raw = dictionary(spark, store)
     hit = F.arrays_overlap("doc_ids", F.array(*[F.lit(int(w)).cast("long") for w in wanted]))
     one = F.explode(F.arrays_zip("doc_ids", "offsets", F.concat(F.slice("offsets", F.lit(2), F.size("offsets")), F.array(F.length("data").cast("long"))).alias("ends")))
@@ -275,7 +308,9 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     import public_tokenizers
 
-    store = write_store(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2, f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    written(path)
+    store = write_store(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2, path)
     return read_store(spark, store).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -125,7 +125,7 @@ def test_a_mark_in_the_text_becomes_a_space(spark):
 def test_store_round_trip(spark, edge, sample, nothing, tmp_path):
     ids = library(WORDS)
     for k, docs in enumerate((edge, sample)):
-        store = token_store.write_store(docs, WORDS, 2, f"file://{tmp_path}/{k}", dictionary_docs=100, dictionary_bytes=2048, shards=3)
+        store = token_store.write_store(docs, WORDS, 2, f"file://{tmp_path}/{k}", dictionary_bytes=2048, shards=3)
         rows = token_store.read_store(spark, store).collect()
         order = sorted(rows, key=lambda r: r["start"])
         assert [r["doc_id"] for r in order] == sorted((r["doc_id"] for r in docs.collect()), key=lambda i: -1 if i is None else i)
@@ -146,7 +146,7 @@ def test_store_round_trip(spark, edge, sample, nothing, tmp_path):
 
 
 def test_a_dictionary_is_used_and_checked(spark, sample, tmp_path):
-    store = token_store.write_store(sample, WORDS, 2, f"file://{tmp_path}/a", dictionary_docs=200, dictionary_bytes=2048)
+    store = token_store.write_store(sample, WORDS, 2, f"file://{tmp_path}/a", dictionary_bytes=2048)
     sha, raw = token_store.dictionary(spark, store)
     assert len(raw) > 0 and spark.read.parquet(store.blocks).where(F.col("dict_sha256") != sha).isEmpty()
     other = token_store.write_store(sample.limit(0), WORDS, 2, f"file://{tmp_path}/b")
@@ -154,6 +154,37 @@ def test_a_dictionary_is_used_and_checked(spark, sample, tmp_path):
         token_store.read_store(spark, token_store.Store(store.blocks, other.dictionary)).collect()
 
 
+@pytest.mark.parametrize("rows", [1, 40, 189])
+def test_every_table_has_a_dictionary(spark, sample, tmp_path, rows):
+    ids = library(WORDS)
+    docs = sample.orderBy("doc_id").limit(rows)
+    store = token_store.write_store(docs, WORDS, 2, f"file://{tmp_path}/{rows}", shards=2)
+    sha, raw = token_store.dictionary(spark, store)
+    assert raw and {r[0] for r in spark.read.parquet(store.blocks).select("dict_sha256").collect()} == {sha}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_store.read_store(spark, store).collect()}
+    want = {r["doc_id"]: [*ids(r["text"]), 2] for r in docs.collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
+def test_dictionaries_of_little():
+    assert token_store.train_dictionary([], 1024) == b"" and token_store.train_dictionary([b"\2\0"], 1024) == b"\2\0"
+    assert token_store.train_dictionary([bytes(range(200))] * 3, 500) == (bytes(range(200)) * 3)[-500:]
+
+
+def test_the_sample_takes_all_lengths(spark, sample):
+    pieces = token_store.sample_pieces(sample, lambda: token_store.WordIds(WORDS, 2), b"\2\0", 1 << 30, "doc_id", "text")
+    ids = library(WORDS)
+    assert sum(map(len, pieces)) == sum(2 * len(ids(r["text"])) + 2 for r in sample.collect())
+    few = token_store.sample_pieces(sample, lambda: token_store.WordIds(WORDS, 2), b"\2\0", 40_000, "doc_id", "text")
+    assert 10_000 < sum(map(len, few)) <= 80_000 and set(few) <= set(pieces)
+    assert few == token_store.sample_pieces(sample.repartition(3), lambda: token_store.WordIds(WORDS, 2), b"\2\0", 40_000, "doc_id", "text")
+
+
+def test_text_ids_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="whole numbers"):
+        token_store.write_store(spark.createDataFrame([("a", "x")], "doc_id string, text string"), WORDS, 2, f"file://{tmp_path}/x")
+
+
 def test_other_white_space_rules_are_refused():
     with pytest.raises(ValueError, match="white space"):
         token_store.width_of(BYTES)
