@@ -1,15 +1,24 @@
-"""Token counts by prefix dynamic programming over a byte-level vocabulary."""
+"""Token counts by prefix dynamic programming over a byte-level vocabulary.
+
+The exact count of every prefix of a text is stored: for each of its bytes by how much the count grows (or falls, as a longer
+prefix may need fewer tokens). Truncation and budget questions are sums over the stored steps; no text is encoded again.
+"""
 
 from __future__ import annotations
 
 import json
 import re
+from array import array
+from operator import sub
 
+import numpy as np
+import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from geoloom.llm.common import documents, map_rows
+from geoloom.llm.common import documents, map_arrow, map_rows, ship_file
 from geoloom.llm.prefix_bpe import Bounded, PrefixDP
 
 #: The pattern that cuts texts into words before byte-level merging.
@@ -18,9 +27,17 @@ CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\
 #: Texts can be cut before any run of white space that follows another symbol: no word of CUT reaches over that place.
 CHUNK = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 
-#: White space beyond ASCII, and separators on which libraries differ: such texts are cut by the pattern as a whole.
+#: White space beyond ASCII, and separators on which libraries differ: such texts are cut by CHUNK_ANY.
 RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
+CHUNK_ANY = regex.compile(r"\s*\S+|\s+")
+
+#: Words of CUT whose beginnings are cut in two.
+SPLIT_BEGINNINGS = (b"'re", b"'ve", b"'ll")
+
+#: The step of a byte that doesn't end a character.
+INSIDE = -(1 << 15)
+
 
 def byte_symbols() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabulary files: printable Latin-1 stands for itself, the rest
@@ -32,10 +49,11 @@ def byte_symbols() -> dict[str, int]:
 
 
 class ByteCounter:
-    """Counts tokens as the library does for one byte-level tokenizer file."""
+    """Counts tokens as the library does for one byte-level tokenizer file. Steps: for each byte of a text that ends a character
+    by how much the count of the prefix up to there exceeds that of the prefix before, as 16-bit integers; else INSIDE."""
 
-    #: Distinct chunks and words whose counts are kept.
-    KEPT, WORDS = 600_000, 800_000
+    #: Distinct chunks and words whose steps are kept.
+    KEPT, WORDS = 500_000, 700_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -51,120 +69,162 @@ class ByteCounter:
         specials = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         self.cut = regex.compile(CUT)
-        self.kept, self.counts = Bounded(self.KEPT), Bounded(self.WORDS)
-
-    def words(self, text: str) -> list[bytes | None]:
-        """The words of a text in order; None stands for a special token."""
-        if not self.special or not self.special.search(text):
-            return [w.encode() for w in self.cut.findall(text)]
-        out: list[bytes | None] = []
-        at = 0
-        for m in self.special.finditer(text):
-            out += [w.encode() for w in self.cut.findall(text[at : m.start()])]
-            out.append(None)
-            at = m.end()
-        return out + [w.encode() for w in self.cut.findall(text[at:])]
+        self.runs = regex.compile(r"\s\s+")
+        self.kept, self.known = Bounded(self.KEPT), Bounded(self.WORDS)
 
     def chunks(self, text: str) -> list[bytes]:
-        """Parts of a text that are counted apart; joined they are the text."""
-        return [text.encode()] if RARE_SPACE.search(text) else CHUNK.findall(text.encode())
-
-    def learn(self, missing: set[bytes]) -> dict[bytes, int]:
-        """Counts of chunks."""
-        parts = dict(zip(missing, map(self.words, map(bytes.decode, missing)), strict=True))
-        count = self.counts.holding(set().union(*parts.values()), self.learn_words).__getitem__
-        return {c: count(ws[0]) if len(ws) == 1 else sum(map(count, ws)) for c, ws in parts.items()}
-
-    def learn_words(self, missing: set) -> dict:
-        """Counts of words, by one walk over their trie."""
-        return {None: 1} | {w: counts[-1] for w, _, _, counts in self.dp.walk(sorted(missing - {None}))}
+        """Parts of a text that are counted apart; joined they are the text. No word reaches over the places between them, in the
+        text or in any of its prefixes."""
+        return [c.encode() for c in CHUNK_ANY.findall(text)] if RARE_SPACE.search(text) else CHUNK.findall(text.encode())
+
+    def learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        """Steps of chunks. Those that are one word after the other are joined from their words' steps."""
+        plain, odd = {}, []
+        for c in missing:
+            t = c.decode()
+            if (self.special and self.special.search(t)) or t[:2].isspace():
+                odd.append(c)
+            else:
+                plain[c] = [w.encode() for w in self.cut.findall(t)]
+        found = self.known.holding(set().union(*plain.values()), self.learn_words).__getitem__
+        out = {c: found(ws[0]) if len(ws) == 1 else b"".join(map(found, ws)) for c, ws in plain.items()}
+        return out | {c: self._steps(c.decode(), self.prefix_counts(c.decode())) for c in odd}
+
+    def learn_words(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        """Steps of words, by one walk over their trie: the walk's counts at every prefix are the word's."""
+        out = {}
+        for w, _, _, counts in self.dp.walk(sorted(missing)):
+            if w in SPLIT_BEGINNINGS:
+                counts = [0, 1, 2, counts[-1]]
+            if w.isascii():
+                out[w] = array("h", map(sub, counts[1:], counts)).tobytes()
+            else:
+                ends = np.cumsum([len(c.encode()) for c in w.decode()]).tolist()
+                out[w] = self._steps(w.decode(), [counts[i] for i in ends])
+        return out
 
-    def count_chunks(self, lists: list[list[bytes]]) -> list[list[int]]:
-        """Token counts of the chunks of several texts."""
-        table = self.kept.holding(set().union(*lists), self.learn)
-        return [list(map(table.__getitem__, cs)) for cs in lists]
+    @staticmethod
+    def _steps(text: str, counts: list[int]) -> bytes:
+        """Steps from the counts after each character."""
+        out, before = array("h"), 0
+        for c, n in zip(text, counts, strict=True):
+            out.extend([INSIDE] * (len(c.encode()) - 1))
+            out.append(n - before)
+            before = n
+        return out.tobytes()
+
+    def _table(self, word: str) -> list[int]:
+        """Counts after each character of one word."""
+        raw = word.encode()
+        steps = np.frombuffer(self.known.holding({raw}, self.learn_words)[raw], np.int16)
+        return np.cumsum(steps[steps != INSIDE], dtype=np.int64).tolist()
+
+    def _plain_counts(self, text: str) -> tuple[list[int], int]:
+        """Counts after each character of a text without special tokens, and where its last word begins. A run of white space at the
+        end of a prefix is one word, though in the text its last symbol may belong to the next word."""
+        out, before, last = [], 0, 0
+        for w in self.cut.findall(text):
+            last = len(out)
+            out += [before + n for n in self._table(w)]
+            before = out[-1]
+        for m in self.runs.finditer(text):
+            base = out[m.start() - 1] if m.start() else 0
+            out[m.start() : m.end()] = [base + n for n in self._table(m.group())]
+        return out, last
 
     def prefix_counts(self, text: str) -> list[int]:
-        """Token count of each prefix of a text that holds whole words up to its last one, by byte length; entry 0 is the
-        empty prefix. The last word's part is the exact encoding of that part of the word."""
-        out, before = [0], 0
-        words = self.words(text)
-        tables = {}
-        for w, _, _, counts in self.dp.walk(sorted({w for w in words if w is not None})):
-            tables[w] = counts[1:]
-        specials = iter(m.group().encode() for m in self.special.finditer(text)) if self.special else iter(())
-        for w in words:
-            if w is None:  # a special token is all there or not: its inner prefixes count as the token
-                out += [before + 1] * len(next(specials))
+        """Token count of each prefix of any text, by characters: the library's count of text[: k + 1] at k.
+
+        The beginning of a special token is ordinary text, which may join the word before it."""
+        out, before, at = [], 0, 0
+        places = [m.span() for m in self.special.finditer(text)] if self.special else []
+        for a, b in [*places, (len(text), len(text))]:
+            counts, last = self._plain_counts(text[at:a])
+            for k in range(a + 1, b):
+                part = self._plain_counts(text[at + last : k])[0]
+                counts.append((counts[last - 1] if last else 0) + part[-1])
+            whole = counts[a - at - 1] if a > at else 0
+            out += [before + n for n in counts]
+            before += whole
+            if b > a:
                 before += 1
-            else:
-                out += [before + n for n in tables[w]]
-                before = out[-1]
+                out.append(before)
+            at = b
         return out
 
-    def fit(self, chunks: list[bytes], counts: list[int], limit: int) -> int:
-        """Bytes of the longest prefix whose stored count is at most limit."""
-        size = total = 0
-        for c, n in zip(chunks, counts, strict=True):
-            if total + n > limit:
-                table = self.prefix_counts(c.decode())
-                return size + max(i for i, k in enumerate(table) if total + k <= limit)
-            size, total = size + len(c), total + n
-        return size
+    def steps(self, texts: list[str]) -> list[np.ndarray]:
+        """Steps of whole texts."""
+        lists = [self.chunks(t) for t in texts]
+        table = self.kept.holding(set().union(*lists), self.learn).__getitem__
+        return [np.frombuffer(b"".join(map(table, cs)), np.int16) for cs in lists]
+
+
+def counts_of(steps: np.ndarray) -> np.ndarray:
+    """Token count of the longest prefix of whole characters within each number of bytes, from 1 on."""
+    return np.cumsum(np.where(steps == INSIDE, 0, steps), dtype=np.int64)
+
 
+def longest_within(steps: np.ndarray, limit: int) -> int:
+    """Bytes of the longest prefix of whole characters that has at most limit tokens."""
+    fits = np.flatnonzero((counts_of(steps) <= limit) & (steps != INSIDE))
+    return int(fits[-1]) + 1 if len(fits) else 0
 
-def count_tokens(
-    docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", checkpoints: int = 0
-) -> DataFrame:
-    """One row per document: id, n_bytes, n_tokens, over_limit, fit_bytes; with checkpoints, also prefix_bytes and prefix_tokens.
+
+FIELDS = "n_bytes long, n_tokens long, over_limit boolean, fit_bytes long, prefix_steps binary"
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id and FIELDS.
 
     n_tokens is the library's count without special tokens added. over_limit: more than limit tokens. fit_bytes: bytes of
-    the longest prefix that keeps to the limit, read from the prefix table; it can end inside a character, as byte-level
-    tokens do. checkpoints: every so many tokens a pair (bytes, tokens) of the prefix table is stored, from which budget
-    questions are answered without encoding again (see tokens_up_to).
+    the longest prefix of whole characters that keeps to the limit. prefix_steps: the exact counts of all prefixes, as
+    compressed steps (see ByteCounter), from which tokens_up_to() and bytes_within() answer any budget.
 
-    Null and empty texts have 0 bytes and 0 tokens. Null ids, repeated rows and ties are kept as they are, one row out for
-    each row in; an empty table gives an empty result; other columns of docs are not read.
+    Null and empty texts have 0 bytes, 0 tokens and no steps. Null ids, repeated rows and ties are kept as they are, one row
+    out for each row in; an empty table gives an empty result; other columns of docs are not read.
     """
+    file = ship_file(docs.sparkSession, tokenizer)
 
     def start():
-        counter = ByteCounter(tokenizer)
+        counter, press = ByteCounter(file.path()), zstandard.ZstdCompressor(level=1)
 
         def step(texts):
-            lists = [counter.chunks(t) for t in texts]
-            counts = counter.count_chunks(lists)
-            totals = [sum(c) for c in counts]
-            out = {"n_bytes": [sum(map(len, cs)) for cs in lists], "n_tokens": totals, "over_limit": [n > limit for n in totals]}
-            out["fit_bytes"] = [b if n <= limit else counter.fit(cs, c, limit) for cs, c, n, b in zip(lists, counts, totals, out["n_bytes"], strict=True)]
-            if checkpoints:
-                stored = [prefix_table(cs, c, checkpoints) for cs, c in zip(lists, counts, strict=True)]
-                out |= {"prefix_bytes": [s[0] for s in stored], "prefix_tokens": [s[1] for s in stored]}
-            return out
+            found = counter.steps(texts)
+            totals = [int(counts_of(x)[-1]) if len(x) else 0 for x in found]
+            fits = [len(x) if n <= limit else longest_within(x, limit) for x, n in zip(found, totals, strict=True)]
+            return {"n_bytes": list(map(len, found)), "n_tokens": totals, "over_limit": [n > limit for n in totals], "fit_bytes": fits, "prefix_steps": [press.compress(x.tobytes()) for x in found]}
 
         return step
 
-    fields = "n_bytes long, n_tokens long, over_limit boolean, fit_bytes long"
-    return map_rows(docs, start, [id_col], text_col, fields + ", prefix_bytes array<long>, prefix_tokens array<long>" * bool(checkpoints))
+    return map_rows(docs, start, [id_col], text_col, FIELDS)
+
 
+def _answer(table: DataFrame, name: str, answer) -> DataFrame:
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            raw = batch.column(batch.schema.get_field_index("prefix_steps")).to_pylist()
+            made = [None if x is None else answer(np.frombuffer(unpack.decompress(x), np.int16)) for x in raw]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], names=[*batch.schema.names, name])
 
-def prefix_table(chunks: list[bytes], counts: list[int], every: int) -> tuple[list[int], list[int]]:
-    """(bytes, tokens) after the first chunk that ends at or past each multiple of every, and at the end."""
-    sizes, tokens, size, total = [], [], 0, 0
-    for c, n in zip(chunks, counts, strict=True):
-        size, total = size + len(c), total + n
-        if not tokens or total // every > tokens[-1] // every:
-            sizes.append(size)
-            tokens.append(total)
-    if chunks and sizes[-1] != size:
-        sizes.append(size)
-        tokens.append(total)
-    return sizes, tokens
+    return map_arrow(table, run, StructType([*table.schema.fields, StructField(name, LongType())]))
 
 
 def tokens_up_to(table: DataFrame, n_bytes: int) -> DataFrame:
-    """table with prefix_count: tokens of the longest stored prefix within n_bytes, from the stored checkpoints alone."""
-    pairs = F.filter(F.arrays_zip("prefix_bytes", "prefix_tokens"), lambda x: x["prefix_bytes"] <= n_bytes)
-    return table.withColumn("prefix_count", F.coalesce(F.try_element_at(pairs, F.lit(-1))["prefix_tokens"], F.lit(0)))
+    """table with prefix_count: exact tokens of the longest prefix of whole characters within n_bytes, from the stored steps
+    alone. Null where there are no steps (null); an empty table gives an empty result; repeated rows stay. A column of that
+    name must not be there yet (ValueError)."""
+    if "prefix_count" in table.columns:
+        raise ValueError("there is a column prefix_count already")
+    return _answer(table, "prefix_count", lambda steps: int(counts_of(steps[:n_bytes])[-1]) if len(steps) and n_bytes > 0 else 0)
+
+
+def bytes_within(table: DataFrame, limit: int) -> DataFrame:
+    """table with prefix_bytes: bytes of the longest prefix of whole characters with at most limit tokens, from the stored steps
+    alone. Nulls, empty tables, repeated rows and the column's name as in tokens_up_to()."""
+    if "prefix_bytes" in table.columns:
+        raise ValueError("there is a column prefix_bytes already")
+    return _answer(table, "prefix_bytes", lambda steps: longest_within(steps, limit))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from geoloom.llm import pieces, token_counts, token_store
+from geoloom.llm.common import materialize
 from tests.llm.conftest import TEXTS
 
 BYTES, WORDS, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -44,15 +45,31 @@ def test_counts_are_the_librarys(edge, sample, nothing):
     assert token_counts.count_tokens(nothing, BYTES).isEmpty()
 
 
-def test_every_prefix_of_words(counter):
-    count = library(BYTES)
-    for text in ("the thereon", " anderes", "aaaaaaaaaaaaaaaaaaaa", "naïve café"):
-        table = counter.prefix_counts(text)
-        assert len(table) == len(text.encode()) + 1 and table[-1] == len(count(text))
-        for i in range(len(text)):
-            part = text[: i + 1]
-            if not part.endswith(" "):
-                assert table[len(part.encode())] == len(count(part))
+def check_prefixes(counter, text):
+    """The stored steps against the library, at every byte that ends a character."""
+    steps = counter.steps([text])[0]
+    assert len(steps) == len(text.encode())
+    counts, end = token_counts.counts_of(steps), 0
+    inner = set()
+    for k, c in enumerate(text):
+        inner |= set(range(end, end + len(c.encode()) - 1))
+        end += len(c.encode())
+        assert counts[end - 1] == len(library_bytes(text[: k + 1])), text[: k + 1]
+    assert set(np.flatnonzero(steps == token_counts.INSIDE).tolist()) == inner
+
+
+@pytest.mark.parametrize("text", [
+    "the thereon", " anderes", "aaaaaaaaaaaaaaaaaaaa", "naïve café", "x <|endoftext|> y", "!<|endoftext|><|endoftext|>  a", "<|endoftext", "don't we'll I've they're 'll 're!", "a  b\n\n c\t\t\td   ", "  \n",
+    "x\u00a0y\u2028z\u3000w \x1c \x85 q", "日本語 текст 🎉🎉 e\u0301 \u00a0\u00a0 1234 ?!?", "a'ss'tt'LL x''re",
+])
+def test_every_prefix(counter, text):
+    check_prefixes(counter, text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "'", "'re", "'ll", "s", "the", "Ünï", "1", "!", "<|", "<|endoftext|>", "\u00a0", "🎉", "e\u0301"]), max_size=12))
+def test_every_prefix_of_any_text(counter, parts):
+    check_prefixes(counter, "".join(parts))
 
 
 @settings(max_examples=60, deadline=None)
@@ -60,46 +77,39 @@ def test_every_prefix_of_words(counter):
 def test_any_text(counter, codec, text):
     import sentencepiece
 
-    assert sum(counter.count_chunks([counter.chunks(text)])[0]) == len(library_bytes(text))
+    check_prefixes(counter, text)
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     ids = codec.encode([text])[0]
     assert ids.tolist() == lib.encode(text) and codec.decode(ids) == lib.decode(ids.tolist())
 
 
-_kept = {}
-
+library_bytes = library(BYTES)
 
-def library_bytes(text):
-    return _kept.setdefault("bytes", library(BYTES))(text)
 
-
-def test_fit_keeps_to_the_limit(counter):
-    text = "the thereon anderes " * 200
-    chunks = counter.chunks(text)
-    counts = counter.count_chunks([chunks])[0]
-    size = counter.fit(chunks, counts, 100)
-    count = library(BYTES)
-    assert len(count(text[:size])) <= 100 < len(count(text[: size + 12]))
-
-
-def test_checkpoints_answer_budgets(spark):
-    text = "the thereon anderes " * 200
-    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
-    table = token_counts.count_tokens(docs, BYTES, checkpoints=50)
-    row = table.where("doc_id = 1").first()
-    count = library(BYTES)
-    for size, n in zip(row["prefix_bytes"], row["prefix_tokens"], strict=True):
-        assert len(count(text[:size])) == n
-    got = {r["doc_id"]: r["prefix_count"] for r in token_counts.tokens_up_to(table, 400).collect()}
-    assert 0 < got[1] <= len(count(text[:400])) and got[2] == 0
+def test_budgets_are_answered_from_the_table(spark):
+    text = "the thereon é anderes <|endoftext|> don't\u00a0we'll " * 40
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "short")], "doc_id long, text string")
+    table = materialize(token_counts.count_tokens(docs, BYTES, limit=100), "table")
+    first = table.where("doc_id = 1").first()
+    sizes = [len(library_bytes(text[: k + 1])) for k in range(len(text))]
+    ends = np.cumsum([len(c.encode()) for c in text])
+    assert first["fit_bytes"] == max(e for e, n in zip(ends, sizes, strict=True) if n <= 100) < first["n_bytes"]
+    for n_bytes in (0, 1, 100, 777, 10**6):
+        got = {r["doc_id"]: r["prefix_count"] for r in token_counts.tokens_up_to(table, n_bytes).collect()}
+        assert got[1] == max([0, *(n for e, n in zip(ends, sizes, strict=True) if e == max(ends[ends <= n_bytes], default=0))]) and got[2] == got[3] == 0
+    for limit in (0, 1, 57, 10**6):
+        got = {r["doc_id"]: r["prefix_bytes"] for r in token_counts.bytes_within(table, limit).collect()}
+        assert got[1] == max([0, *(e for e, n in zip(ends, sizes, strict=True) if n <= limit)]) and got[3] == 0
+    assert token_counts.tokens_up_to(table.limit(0), 5).isEmpty()
+    with pytest.raises(ValueError, match="already"):
+        token_counts.tokens_up_to(table.withColumn("prefix_count", F.lit(1)), 5)
 
 
 def test_small_tables_give_the_same(counter):
     small = token_counts.ByteCounter(BYTES)
-    small.kept.most = small.counts.most = 5
+    small.kept.most = small.known.most = 5
     texts = [t or "" for t in TEXTS]
-    lists = [small.chunks(t) for t in texts]
-    assert [sum(small.count_chunks([c])[0]) for c in lists] == [sum(c) for c in counter.count_chunks(lists)]
+    assert [small.steps([t])[0].tolist() for t in texts] == [x.tolist() for x in counter.steps(texts)]
 
 
 def test_pieces_are_the_librarys(edge, sample, nothing):
