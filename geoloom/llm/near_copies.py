@@ -6,8 +6,8 @@ of texts at a similarity of 0.8 differ by about 10 of 64 bits, beyond any ball t
 classes that share a band of MinHash values are candidates too. Only two texts that are similar, share none of BANDS bands and
 aren't linked through others are missed: at a similarity of 0.8 with a chance of (1 - 0.8 ** ROWS) ** BANDS = 5e-8 a pair.
 
-Bands are worked off in two rounds. First a few classes of each band, its pivots, are compared with all of the band that
-are in other components, so that a large group of near copies becomes one component. What is left are pairs of different
+Bands are worked off in two rounds. First each class is compared with a few of each of its bands, those that come first and last
+in ORDERS orders that all bands share, so that a large group of near copies becomes one component at a cost that is linear. What is left are pairs of different
 components. Most such pairs are texts of one family with too many changes of their own, and an exact bound leaves them out
 unseen: call a word sequence rare if at most RARE of the classes left have it. Two sets that share no rare shingle share no
 more than the smaller one's common shingles; if that is too little for the similarity, they aren't compared. Sets that share
@@ -25,8 +25,8 @@ from geoloom.llm.simhash import bit_majority, links, shingle_digests, stars
 
 BANDS, ROWS = 32, 4
 SEED = 42
-#: Pivots that a band is expected to have in the first round, and classes that a rare shingle may have.
-PIVOTS, RARE = 4, 16
+#: Orders of classes in the first round, and classes that a rare shingle may have.
+ORDERS, RARE = 2, 16
 
 
 def shingle_hashes(text: bytes, n: int) -> np.ndarray:
@@ -82,43 +82,44 @@ def _by_fingerprint(classes: DataFrame) -> DataFrame:
     return same.unionByName(found.join(a, "a").join(b, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
-def _sides(rows: DataFrame, other: DataFrame, more: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Two copies of classes for a join of pairs: band, a and b (keys), and their roots, places and sizes."""
-    pick = lambda df, name: df.select("band", F.col("__key").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("root", "place", "size", *([more] if more else []))])
-    return pick(rows, "a"), pick(other, "b")
+def _sized(a: str, b: str, similarity: float) -> Column:
+    """Whether the sizes of two sets allow the similarity."""
+    return F.least(a, b) >= F.greatest(a, b) * similarity
 
 
-def _apart(similarity: float) -> Column:
-    """Whether two sets are of different components, and of sizes that allow the similarity."""
-    return (F.col("root_a") != F.col("root_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity)
+def _end_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each class and the first and last of its bands in each order."""
+    ends = met.select("__key", "size", F.explode(F.array_distinct("ends")).alias("end")).where((F.col("end.key") != F.col("__key")) & _sized("size", "end.size", similarity))
+    return ends.select(F.least("__key", "end.key").alias("a"), F.greatest("__key", "end.key").alias("b")).distinct()
+
 
+def _sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Two copies of classes for a join of pairs: band, a and b (keys), and their roots, sizes and more."""
+    pick = lambda name: rows.select("band", F.col("__key").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("root", "size", *more)])
+    return pick("a"), pick("b")
 
-def _pivot_pairs(met: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of pivots and the classes of their bands."""
-    a, b = _sides(met.where(F.col("place") * F.col("n") < PIVOTS), met)
-    return a.join(b, "band").where(_apart(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+def _apart(similarity: float) -> Column:
+    """Whether two sets are of different components, and of sizes that allow the similarity; each pair once."""
+    return (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _sized("size_a", "size_b", similarity)
 
 
 def _last_pairs(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) that share a band, are in different components and may be similar. left: band, __key, root, place, size, n."""
-    own = left.select("__key", "root", "place", "size").distinct()
-    shingles = own.join(sets, "__key").select("__key", "root", "place", "size", F.explode("hashes").alias("band"))
-    seen = shingles.groupBy("band").agg(F.count("*").alias("have"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("have > 1 and (have > %d or lo < hi)" % RARE)
+    """Pairs (a, b) that share a band, are in different components and may be similar. left: band, __key, root, size."""
+    own = left.select("__key", "root", "size").distinct()
+    shingles = own.join(sets, "__key").select("__key", "root", "size", F.explode("hashes").alias("band"))
+    seen = shingles.groupBy("band").agg(F.count("*").alias("have"), F.min("root").alias("lo"), F.max("root").alias("hi")).where((F.col("have") > RARE) | ((F.col("have") > 1) & (F.col("lo") < F.col("hi"))))
     seen = materialize(shingles.join(seen.select("band", "have"), "band"), "shingles")
-    a, b = _sides(seen.where(F.col("have") <= RARE), seen.where(F.col("have") <= RARE))
-    rare = a.join(b, "band").where(_apart(similarity) & (F.col("a") < F.col("b"))).select("a", "b")
+    a, b = _sides(seen.where(F.col("have") <= RARE))
+    rare = a.join(b, "band").where(_apart(similarity)).select("a", "b")
     common = materialize(seen.where(F.col("have") > RARE).groupBy("__key").agg(F.count("*").alias("common")), "common")
-    a, b = _sides(left.join(common, "__key"), left.join(common, "__key"), "common")
+    a, b = _sides(left.join(common, "__key").join(left.groupBy("__key").agg(F.collect_list("band").alias("bands")), "__key"), "common", "bands")
     enough = F.least("common_a", "common_b") * (1 + similarity) >= (F.col("size_a") + F.col("size_b")) * (similarity - 1e-9)
-    pairs = a.join(b, "band").where(_apart(similarity) & enough & (F.col("a") < F.col("b"))).select("a", "b")
+    here = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")  # of all bands that a pair shares, one is enough
+    pairs = a.join(b, "band").where(_apart(similarity) & enough & here).select("a", "b")
     return rare.unionByName(pairs).distinct()
 
 
-def _place(key: Column) -> Column:
-    """A place of its own for each class, the same in all its bands, evenly spread between 0 and 1."""
-    return F.pmod(F.xxhash64(key), F.lit(1 << 40)).cast("double") / (1 << 40)
-
-
 def _rooted(rows: DataFrame, root: DataFrame) -> DataFrame:
     return rows.join(root, rows["__key"] == root["u"], "left").withColumn("root", F.coalesce("m", "__key")).drop("u", "m")
 
@@ -135,10 +136,14 @@ def keep_one_copy(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col:
     classes = materialize(marked.groupBy("__key").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.any_value("__size").alias("size"), F.any_value("__fp").alias("fp"), F.any_value("__bands").alias("bands")), "classes")
 
     entries = classes.select("__key", "size", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(entries.join(shared, "band").withColumn("place", _place(F.col("__key"))), "met")
-    close = materialize(_by_fingerprint(classes.select("__key", "fp")), "close")
-    chosen = met.select("__key").union(close.select(F.explode(F.array("a", "b")))).distinct()
+    ends = []
+    for k in range(ORDERS):
+        place = F.xxhash64("__key", F.lit(k))
+        ends += [least(F.struct("__key", "size"), place) for least in (F.min_by, F.max_by)]
+    shared = entries.groupBy("band").agg(F.count("*").alias("n"), F.array(*[e.cast("struct<key:binary,size:bigint>") for e in ends]).alias("ends")).where("n > 1")
+    met = materialize(entries.join(shared, "band"), "met")
+    pairs = materialize(_by_fingerprint(classes.select("__key", "fp")).unionByName(_end_pairs(met, similarity)).distinct(), "pairs")
+    chosen = met.select("__key").union(pairs.select(F.explode(F.array("a", "b")))).distinct()
     chosen = classes.join(chosen, "__key").select(F.col("first.row").alias("__row"))
     texts = marked.select("__key", "__row", text_col).join(chosen, "__row")
 
@@ -146,13 +151,10 @@ def keep_one_copy(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col:
         return lambda found: {"hashes": [shingle_hashes(t.encode(), n).view(np.int64) for t in found]}
 
     sets = materialize(map_rows(texts, start, ["__key"], text_col, "hashes array<bigint>"), "sets", "zstd")
-    near = materialize(_confirmed(close, sets, similarity), "near")
-    placed = materialize(_rooted(met, stars(near)), "placed")
-    pairs = materialize(_pivot_pairs(placed, similarity), "pivots")
-    near = near.unionByName(materialize(_confirmed(pairs, sets, similarity), "near"))
-    placed = _rooted(met, stars(near))
-    several = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.col("place") * F.col("n")).alias("top"))
-    left = materialize(placed.join(several.where((F.col("lo") < F.col("hi")) & (F.col("top") >= PIVOTS)).select("band"), "band"), "left")
+    near = materialize(_confirmed(pairs, sets, similarity), "near")
+    placed = _rooted(met.select("band", "__key", "size"), stars(near))
+    several = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    left = materialize(placed.join(several.select("band"), "band"), "left")
     pairs = materialize(_last_pairs(left, sets, similarity), "last")
     near = near.unionByName(materialize(_confirmed(pairs, sets, similarity), "near"))
     root = stars(near)

@@ -50,7 +50,6 @@ def test_chains_and_groups_against_brute_force(spark):
 def test_large_families_against_brute_force(spark, monkeypatch):
     """Groups in which some are near and most have too many changes of their own, with rare and common shingles at small bounds."""
     monkeypatch.setattr(near_copies, "RARE", 3)
-    monkeypatch.setattr(near_copies, "PIVOTS", 2)
     rng = random.Random(4)
     rows = []
     for f, length in enumerate((60, 90, 140)):
