@@ -51,15 +51,19 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: tuple[
 
     Null URLs and those without :// have an empty host and path and fit no rule; repeated rows stay apart; very long hosts
     and paths are expanded no further than the longest rule; empty pages or rules work. Columns of pages that are not kept
-    are not read; kept columns must not be called host, path, rule or verdict.
+    are not read; kept columns may have any names but host, path, rule and verdict (ValueError). Up to BROADCAST_RULES rules
+    (counted) are sent to every executor, more are joined by a shuffle; the result is the same.
     """
+    if taken := {"host", "path", "rule", "verdict"} & set(keep):
+        raise ValueError(f"the result has columns of its own called {', '.join(sorted(taken))}")
     table = prepare_rules(rules)
     # The lengths of rules are as few as a longest rule has characters, not as many as there are rules.
     sizes = table.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("path_chars")).alias("paths"), F.sort_array(F.collect_set("host_chars")).alias("hosts")).first()
     path_sizes = F.array(*map(F.lit, sizes["paths"])).cast("array<int>")
     longest_host = max(sizes["hosts"], default=0)
 
-    rows = pages.select(F.monotonically_increasing_id().alias("__row"), *keep, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    kept = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)])  # in one column, so that no name can clash
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), kept.alias("kept"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     labels = F.split(F.substring("host", -longest_host - 1, longest_host + 1), r"\.")  # no suffix longer than a rule's host is needed
     whole = F.length("host") <= longest_host
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -73,13 +77,12 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: tuple[
         near = wide.join(F.broadcast(side), F.col("short") == F.col("r_short"), "left")
     else:  # common suffixes such as a top-level domain are in very many rows: their rows are dealt to salted copies of the rules
         side = side.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = wide.withColumn("salt", F.pmod(F.xxhash64("__row"), F.lit(SALTS)).cast("int"))
+        salted = wide.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
         near = salted.join(side, (F.col("short") == F.col("r_short")) & (F.col("salt") == F.col("r_salt")), "left")
     fits = F.when(F.col("digest") == F.col("r_digest"), F.struct((F.col("host_chars") + F.col("path_chars")).alias("chars"), "host_chars", "rule", "block"))
-    first = [F.first(c).alias(c) for c in (*keep, "host", "path")]
-    best = near.groupBy("__row").agg(*first, F.max(fits).alias("best"))
+    best = near.groupBy("row").agg(*[F.first(c).alias(c) for c in ("kept", "host", "path")], F.max(fits).alias("best"))
     verdict = F.when(F.col("best.block"), "block").when(F.col("best").isNotNull(), "allow").otherwise(default)
-    return best.select(*keep, "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+    return best.select(*[F.col(f"kept.c{k}").alias(c) for k, c in enumerate(keep)], "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
 
 
 #: Rules of the query: host, path, action.

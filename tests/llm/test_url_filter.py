@@ -49,6 +49,17 @@ def test_rows_stay(spark):
     assert len(rows) == 3 and all(r["rule"] is None and r["verdict"] == "allow" for r in rows)
 
 
+def test_kept_columns_may_have_any_name(spark):
+    names = ["digest", "short", "salt", "best", "row", "kept", "none", "r_short", "block"]
+    pages = spark.createDataFrame([(*range(len(names)), "http://a.org/")], ", ".join(f"{n} long" for n in names) + ", url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    row = url_filter.judge(pages, rules, keep=tuple(names)).first()
+    assert [row[n] for n in names] == list(range(len(names))) and row["rule"] == "org/"
+    assert url_filter.judge(pages, rules, keep=()).columns == ["host", "path", "rule", "verdict"]
+    with pytest.raises(ValueError, match="rule"):
+        url_filter.judge(pages.withColumnRenamed("best", "rule"), rules, keep=("rule",))
+
+
 def test_digests_decide(spark):
     pages = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     rules = spark.createDataFrame([("org", "/", "block")], "host string, path string, action string")
