@@ -202,29 +202,33 @@ def fit(examples: list[tuple[list[int], int]], rounds: int = 120, rate: float =
     return Crf(emit.copy(), step.copy(), begin.copy())
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 600, most_lines: int = 300, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 600, run_lines: int = 300, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf:
     """A model from a bounded sample: about per_class labelled documents of each label, at most twice as many, picked by a
-    hash of their ids; those of more than most_lines lines are left out of training. A document's label is its lines' label.
+    hash of their ids, and of their lines at most 4 * per_class runs of up to run_lines lines. A document's label is its lines'
+    label; longer documents give several runs.
+
+    Ids may be of any type. Labels repeat or are null at will; an id that has both labels has none. Rows of one id are
+    documents of their own. Without both labels, or without their documents, the model keeps everything (LENIENT).
     """
-    spark = docs.sparkSession
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label"))
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"), F.max(label_col).alias("__most"))
+    known = known.where("__label = __most").select("__id", "__label")
     sizes = {r["__label"]: r["n"] for r in known.groupBy("__label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return LENIENT
     part = F.coalesce(*[F.when(F.col("__label") == y, F.lit(min(1.0, per_class / n))) for y, n in sizes.items()])
-    picked = known.where(picked_by_hash("quality", "__id", share=part)).limit(4 * per_class)
-    ids = {r["__id"]: r["__label"] for r in picked.collect()}
-    if not ids:
-        return LENIENT
-    small = spark.createDataFrame(list(ids.items()), "__id long, __label int")  # bounded by the limit above
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__body")).join(F.broadcast(small), "__id")
+    order = F.xxhash64(F.lit("quality"), "__id")
+    picked = known.where(picked_by_hash("quality", "__id", share=part)).orderBy(order, "__id").limit(4 * per_class)
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__body")).join(F.broadcast(picked), "__id")  # bounded by the limit above
 
     def start():
         return lambda texts: {"masks": [masks(*lines_of(t.encode())) for t in texts]}
 
-    found = map_rows(rows, start, ["__id", "__label"], "__body", "masks array<int>").where(F.size("masks").between(1, most_lines))
-    rows = found.limit(4 * per_class).collect()  # ids may repeat
-    return fit([(list(r["masks"]), r["__label"]) for r in sorted(rows, key=lambda r: (r["__id"], r["masks"]))])
+    found = map_rows(rows, start, ["__id", "__label"], "__body", "masks array<int>").where(F.size("masks") > 0)
+    starts = F.sequence(F.lit(1), F.size("masks"), F.lit(run_lines))
+    runs = found.select("__id", "__label", "masks", F.explode(starts).alias("__at"))
+    runs = runs.select("__id", "__label", "__at", F.slice("masks", F.col("__at"), F.lit(run_lines)).alias("masks"))
+    rows = runs.orderBy(F.xxhash64(F.lit("run"), "__id", "__at"), "__id", "__at", "masks").limit(4 * per_class).collect()
+    return fit([(list(r["masks"]), int(r["__label"])) for r in rows])
 
 
 #: A document is kept if at least this share of its words stands in lines of content.
@@ -263,7 +267,8 @@ def assess(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
+    """The rows of docs that are kept, with all their columns. Null and empty texts go; repeated rows stay or go together; an
+    empty table gives an empty result."""
 
     def start():
         return lambda texts: [judge_text(t, model)[2] for t in texts]

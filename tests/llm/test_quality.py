@@ -89,6 +89,17 @@ def test_one_kind_of_label_keeps_all(spark, sample):
     assert quality.fit([]) is quality.LENIENT
 
 
+def test_text_ids_conflicting_labels_and_long_documents(spark):
+    good, bad = "a plain sentence of words, and more of them.\n" * 900, "BUY NOW!!! $$$ | <<< 50% OFF\n" * 700
+    docs = spark.createDataFrame([("a", good), ("b", bad), ("c", good), ("c", None), (None, bad)], "doc_id string, text string")
+    labels = [("a", 1), ("a", 1), ("b", 0), ("c", 0), ("c", 1), (None, 0), ("z", 1), ("b", None)]
+    models = [quality.train(docs, spark.createDataFrame(rows, "doc_id string, quality int")) for rows in (labels, labels[::-1], [("a", 1), ("b", 0)])]
+    assert models[0] is not quality.LENIENT
+    assert all(np.array_equal(m.emit, models[0].emit) and np.array_equal(m.step, models[0].step) for m in models)
+    got = {(r["doc_id"], r["n_words"] > 0): r["content_share"] for r in quality.assess(docs, models[0]).collect()}
+    assert got["a", True] == got["c", True] == 1.0 and got["b", True] == got[None, True] == 0.0
+
+
 def test_labelled_documents(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
