@@ -16,8 +16,8 @@ BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
 #: TF-IDF is term share times inverse document frequency times this.
 SCALE = 64.0
 UNKNOWN = "und"
-#: At most so many languages are learned; more are an error, as the sample and the weights grow with them.
-MOST_LANGUAGES = 500
+#: At most so many languages are learned; more are an error, as the weights grow with them.
+MOST_LANGUAGES = 200
 
 _letters: np.ndarray | None = None
 
@@ -141,11 +141,13 @@ def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def train(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, per_language: int = 400, most_documents: int = 8000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from docs with a language: document frequencies from all of them, weights from a bounded sample.
 
-    The sample has about per_language whole documents of each language, at most twice as many, picked by a hash of their
-    ids; a fifth of it sets the temperature, the rest the weights.
+    The sample has about per_language whole documents of each language, or fewer so that all have about most_documents, at most
+    twice as many, picked by a hash of their ids; a fifth of it sets the temperature, the rest the weights. Null texts and
+    texts without a letter teach nothing; ids may be null or repeat; without a language nothing is learned. More than
+    MOST_LANGUAGES languages are a ValueError.
     """
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__body"), F.col(lang_col).alias("__lang"))
     sizes = {r["__lang"]: r["n"] for r in known.groupBy("__lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
@@ -156,6 +158,7 @@ def train(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text
         return Model([], np.ones(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
     n, seen = document_frequencies(known, "__body")
     idf = np.log((1 + n) / (1 + seen)) + 1
+    per_language = max(1, min(per_language, most_documents // len(languages)))
     shares = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))])
     sample = known.where(picked_by_hash("language", "__id", share=F.try_element_at(shares, F.col("__lang")))).withColumn("__place", F.xxhash64(F.lit("language"), "__id"))
 
@@ -166,8 +169,8 @@ def train(docs: DataFrame, per_language: int = 400, id_col: str = "doc_id", text
 
         return step
 
-    rows = map_rows(sample, start, ["__place", "__lang"], "__body", "at array<int>, n array<int>").where(F.size("at") > 0).limit(2 * per_language * len(languages)).collect()
-    rows.sort(key=lambda r: (r["__place"], r["__lang"], r["at"][:8]))
+    rows = map_rows(sample, start, ["__place", "__lang"], "__body", "at array<int>, n array<int>").where(F.size("at") > 0)
+    rows = rows.orderBy("__place", "__lang", "at", "n").limit(2 * per_language * len(languages)).collect()
     index = {k: i for i, k in enumerate(languages)}
     examples = [(np.array(r["at"]), np.array(r["n"]) / sum(r["n"]), index[r["__lang"]]) for r in rows]
     held, used = examples[::5], [x for k, x in enumerate(examples) if k % 5]
@@ -197,7 +200,8 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose language is told with a score of at least least, with all their columns."""
+    """The rows of docs whose language is told with a score of at least least, with all their columns. Null texts and texts
+    without a letter go; repeated rows stay or go together; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
