@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,9 +32,9 @@ def textual(column: Column, name: str, unit_name: str = "unknown") -> Column:
     return F.coalesce(column.cast("string"), F.lit("")).alias(name, metadata=unit(unit_name))
 
 
-def path_hash(path: str) -> str:
-    """The physical column name of an XML path."""
-    return hashlib.sha1(path.encode()).hexdigest()
+def path_hash(path: str | Column) -> str | Column:
+    """The physical column name of an XML path, or of a column of paths."""
+    return F.sha1(path) if isinstance(path, Column) else hashlib.sha1(path.encode()).hexdigest()
 
 
 def epoch_seconds(ts: Column) -> Column:
@@ -62,11 +62,16 @@ def fixed_text(x: Column) -> Column:
     return x.cast("decimal(18,6)").cast("string")
 
 
-def point_wkt(x: Column, y: Column) -> Column:
-    return F.concat(F.lit("POINT("), fixed_text(x), F.lit(" "), fixed_text(y), F.lit(")"))
+def exact_text(x: Column) -> Column:
+    """A number as the shortest text that gives the same double again."""
+    return x.cast("double").cast("string")
 
 
-def box_wkt(x1: Column, y1: Column, x2: Column, y2: Column, text=fixed_text) -> Column:
+def point_wkt(x: Column, y: Column, text: Callable[[Column], Column] = exact_text) -> Column:
+    return F.concat(F.lit("POINT("), text(x), F.lit(" "), text(y), F.lit(")"))
+
+
+def box_wkt(x1: Column, y1: Column, x2: Column, y2: Column, text: Callable[[Column], Column] = exact_text) -> Column:
     """A rectangle as a closed ring that goes up, right, down and back."""
     corners = [(x1, y1), (x1, y2), (x2, y2), (x2, y1), (x1, y1)]
     ring = F.concat_ws(", ", *[F.concat_ws(" ", text(x), text(y)) for x, y in corners])

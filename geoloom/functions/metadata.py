@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.functions.attributes import box_wkt, fixed_text, point_wkt
+from geoloom.functions.attributes import box_wkt, exact_text, point_wkt
 
 TABLE_FORMAT = "text/tab-separated-values"
+LEADING_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 #: Attempts to tell equal parameter names apart.
 MOST_SUFFIXES = 1000
 
@@ -31,6 +32,11 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
+def json_number(text: Column, path: str) -> Column:
+    """A number in a column of JSON texts; null where it isn't there, no number, or the text no JSON."""
+    return F.try_variant_get(F.try_parse_json(text), path, "double")
+
+
 def is_latitude(name: Column) -> Column:
     return (name == "LATITUDE") | name.startswith("Latitude")
 
@@ -50,32 +56,34 @@ def _objects(doc: Column, path: str) -> Column:
     return F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast("array<variant>"))
 
 
-def coverage(geo: Column) -> tuple[Column, Column]:
+def coverage(geo: Column, text: Callable[[Column], Column] = exact_text) -> tuple[Column, Column]:
     """(kind, geometry) of a coverage's geo object: BOX, POINT or NONE, and WKT ("" for NONE).
 
-    A box reads "south west north east"; what can't be parsed or is missing is 0, and the coverage is still a box.
+    A box reads "south west north east", each by the number that its text begins with; if one can't be parsed or is missing all
+    are 0, and the coverage is still a box.
     """
     kind = F.try_variant_get(geo, "$['@type']", "string")
     parts = F.split(_text(geo, "$.box"), " ")
-    number = lambda i: F.coalesce(F.get(parts, i).try_cast("double"), F.lit(0.0))
-    whole = F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(parts, i).try_cast("double").isNotNull())
-    south, west, north, east = (F.when(whole, number(i)).otherwise(0.0) for i in range(4))
+    number = lambda i: F.regexp_extract(F.get(parts, i), LEADING_NUMBER, 0).try_cast("double")
+    whole = F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i: number(i).isNotNull())
+    south, west, north, east = (F.when(whole, number(F.lit(i))).otherwise(0.0) for i in range(4))
     place = lambda k: F.coalesce(F.try_variant_get(geo, f"$.{k}", "double"), F.lit(0.0))
     shape = F.when(kind == "GeoShape", "BOX").when(kind == "GeoCoordinates", "POINT").otherwise("NONE")
-    wkt = F.when(kind == "GeoShape", box_wkt(west, south, east, north, fixed_text)).when(kind == "GeoCoordinates", point_wkt(place("longitude"), place("latitude"))).otherwise("")
+    wkt = F.when(kind == "GeoShape", box_wkt(west, south, east, north, text)).when(kind == "GeoCoordinates", point_wkt(place("longitude"), place("latitude"), text)).otherwise("")
     return shape, wkt
 
 
-def parse_metadata(documents: DataFrame, json_col: str = "json") -> DataFrame:
+def parse_metadata(documents: DataFrame, json_col: str = "json", text: Callable[[Column], Column] = exact_text) -> DataFrame:
     """documents with: title, license, url, authors, data_link, format, coverage, coverage_wkt, parameters.
 
     parameters: name (with the description after a space, if there is one, even an empty one), unit, numeric (it has a
     unit); equal names are not told apart yet, see unique_names. authors: "family, given". The data file is the last
-    distribution of TABLE_FORMAT, else the last one, else nothing. What isn't JSON gives empty values.
+    distribution of TABLE_FORMAT, else the last one, else nothing. What isn't JSON gives empty values. text: how coordinates are
+    written.
     """
     doc = F.try_parse_json(F.col(json_col))
     geo = F.try_variant_get(doc, "$.spatialCoverage.geo", "variant")
-    shape, wkt = coverage(geo)
+    shape, wkt = coverage(geo, text)
     author = lambda a: F.concat(_text(a, "$.familyName"), F.lit(", "), _text(a, "$.givenName"))
     files = F.transform(_objects(doc, "$.distribution"), lambda d: F.struct(_text(d, "$.fileFormat").alias("format"), _text(d, "$.contentUrl").alias("link")))
     tables = F.filter(files, lambda d: d["format"].contains(TABLE_FORMAT))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.sources.tables import small
+
 LEAST_CHARACTERS = 3
 
 
@@ -27,16 +29,17 @@ def resolve_taxa(taxon_to_term: DataFrame, term: str, level: str, distinct: bool
 
 def resolve_taxa_names(taxon_to_name: DataFrame, taxa: DataFrame) -> DataFrame:
     """Distinct lower-cased names (one column, name) of taxa, without empty ones."""
-    return taxon_to_name.where("name != ''").join(taxa, "taxon", "left_semi").select(F.lower("name").alias("name")).distinct()
+    return taxon_to_name.where("name != ''").join(small(taxa), "taxon", "left_semi").select(F.lower("name").alias("name")).distinct()
 
 
 def count_occurrences(narrow: DataFrame, taxa: DataFrame) -> DataFrame:
     """One row, count: occurrences of taxa with coordinates (x and y)."""
-    return narrow.where("x is not null and y is not null").join(taxa, "taxon", "left_semi").agg(F.count("*").alias("count"))
+    return narrow.where("x is not null and y is not null").join(small(taxa), "taxon", "left_semi").agg(F.count("*").alias("count"))
 
 
 def ranges_of(ranges: DataFrame, names: DataFrame) -> DataFrame:
-    return ranges.join(names, F.lower(ranges["binomial"]) == names["name"], "left_semi")
+    """The ranges (rows) of species whose names, in lower case, are named."""
+    return ranges.join(small(names), F.lower(ranges["binomial"]) == names["name"], "left_semi")
 
 
 def count_ranges(ranges: DataFrame, names: DataFrame) -> DataFrame:

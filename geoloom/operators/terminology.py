@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.sources.tables import written
+
 EMPTY, KEEP = "EMPTY", "KEEP"
 MATCH_TYPES = ("exact", "included", "regex")
 
@@ -46,6 +48,11 @@ class Resolution:
         parts = {"query": name, "terminologies": self.terminology, "match_type": self.match_type}
         return urlencode(parts | ({"first_hit": "true"} if self.first_hit else {}))
 
+    def query_strings(self, name: Column) -> Column:
+        """The queries of a column of names."""
+        rest = {"terminologies": self.terminology, "match_type": self.match_type} | ({"first_hit": "true"} if self.first_hit else {})
+        return F.concat(F.lit("query="), F.url_encode(name), F.lit("&" + urlencode(rest)))
+
 
 def term_of_response(response: Column, name: Column, how: Resolution) -> Column:
     """The term in a search response (JSON text, null for a failed request).
@@ -81,8 +88,9 @@ def resolve_by_table(features: DataFrame, terms: DataFrame, how: Resolution) ->
 def resolve_by_service(features: DataFrame, fetch: Callable[[Iterable[str]], Iterable[str | None]], how: Resolution, parallelism: int = 16) -> DataFrame:
     """features with the resolved attribute, from a service: fetch turns names into JSON responses, None for a failure.
 
-    Each distinct value is asked for once, spread over parallelism tasks. Filter features before: what comes later does not
-    spare requests.
+    Each distinct value is asked for once, spread over parallelism tasks; the answers are written to the shared folder, so that
+    they aren't asked for again when the result is read twice or a task that reads them is done again. A task that asks
+    and is lost asks again. Filter features before: what comes later does not spare requests.
     """
     values = features.select(F.coalesce(F.col(how.attribute_name), F.lit("")).alias("__query")).distinct().repartition(parallelism)
 
@@ -90,7 +98,7 @@ def resolve_by_service(features: DataFrame, fetch: Callable[[Iterable[str]], Ite
         for batch in batches:
             yield batch.assign(__response=list(fetch(batch["__query"].tolist())))
 
-    answers = values.mapInPandas(ask, "__query string, __response string")
+    answers = written(values.mapInPandas(ask, "__query string, __response string"), "answers")
     answers = answers.select("__query", term_of_response(F.col("__response"), F.col("__query"), how).alias("__term"))
     joined = features.join(answers, F.coalesce(F.col(how.attribute_name), F.lit("")) == F.col("__query"), "left")
     return joined.withColumn(how.resolved_attribute, F.col("__term")).drop("__query", "__term")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 from geoloom.functions.attributes import OCCURRENCE_COLUMNS, check_columns
 from geoloom.functions.rect import QueryRect
@@ -43,15 +44,72 @@ class Context:
         return name
 
 
-def _no_sources(node: dict) -> None:
-    if any((node.get("sources") or {}).values()):
+def check_node(node: dict, kind: str, aliases: dict[str, str] | None = None) -> str:
+    """The operator's name; ValueError for what is wrong with a node and its sources, before any table is looked at."""
+    name = (aliases or {}).get(node.get("type", ""), node.get("type", ""))
+    if name not in CHECKS:
+        raise ValueError(f"unknown operator {name!r}")
+    p, sources = node.get("params", {}), [s for group in (node.get("sources") or {}).values() for s in group]
+    if name == "terminology_resolver":
+        terminology.Resolution.from_params(p)
+        if len(sources) != 1:
+            raise ValueError("the resolver takes one source")
+        check_node(sources[0], kind, aliases)
+    elif sources:
         raise ValueError(f"{node['type']} takes no sources")
+    CHECKS[name](p, kind)
+    return name
 
 
-def _archive(node: dict, kind: str, rect: QueryRect, c: Context) -> DataFrame:
-    _no_sources(node)
+def _check_archive(p: dict, kind: str) -> None:
     if kind != POINTS:
         raise ValueError("an archive gives points")
+    if not p.get("path"):
+        raise ValueError("`path` must name a dataset")
+    check_columns(p)
+
+
+def _check_occurrence(p: dict, kind: str) -> None:
+    taxa.check_term(p.get("term", ""))
+    check_columns(p, OCCURRENCE_COLUMNS if kind == POINTS else None)
+    if kind not in (POINTS, POLYGONS):
+        raise ValueError("occurrences give points or polygons")
+
+
+def _check_tabular(p: dict, kind: str) -> None:
+    if kind not in (POINTS, POLYGONS):
+        raise ValueError("tables give points or polygons")
+    if not p.get("doi"):
+        raise ValueError("`doi` must name a dataset")
+
+
+CHECKS = {"archive_source": _check_archive, "occurrence_source": _check_occurrence, "tabular_source": _check_tabular, "ogr_source": lambda p, kind: None, "terminology_resolver": lambda p, kind: None}
+
+
+def check_queries(queries: DataFrame, json_col: str = "json", aliases: dict[str, str] | None = None) -> DataFrame:
+    """queries with error (what is wrong with a query, null if nothing) and semantic_key (null if something is): by the same
+    checks and keys as build(), a row at a time in tasks, for logs of queries. What isn't JSON, or has no operator, is an error."""
+
+    def judge(text: str | None) -> tuple[str | None, str | None]:
+        try:
+            query = json.loads(text or "")
+            check_node(query["query"], query.get("query_result", POINTS), aliases)
+            return None, semantic_key(query["query"], aliases)
+        except (KeyError, TypeError, AttributeError, json.JSONDecodeError):
+            return "not a query", None
+        except ValueError as e:
+            return str(e), None
+
+    def run(batches):
+        for batch in batches:
+            found = [judge(t) for t in batch[json_col]]
+            yield batch.assign(error=[e for e, _ in found], semantic_key=[k for _, k in found])
+
+    fields = [*queries.schema.fields, StructField("error", StringType()), StructField("semantic_key", StringType())]
+    return queries.mapInPandas(run, StructType(fields))
+
+
+def _archive(node: dict, kind: str, rect: QueryRect, c: Context) -> DataFrame:
     p = node["params"]
     numbers, texts = check_columns(p)
     return archive.archive_points(c.table("datasets"), c.table("units"), p["path"], rect, numbers, texts, p.get("units"))
@@ -62,37 +120,26 @@ def _taxa(p: dict, c: Context) -> DataFrame:
 
 
 def _occurrence(node: dict, kind: str, rect: QueryRect, c: Context) -> DataFrame:
-    _no_sources(node)
     p = node["params"]
-    taxa.check_term(p.get("term", ""))
     numbers, texts = check_columns(p)
     found = _taxa(p, c)
     if kind == POLYGONS:
         return occurrence.occurrence_ranges(c.table("ranges"), taxa.resolve_taxa_names(c.table("taxon_to_name"), found))
-    if kind != POINTS:
-        raise ValueError("occurrences give points or polygons")
-    check_columns(p, OCCURRENCE_COLUMNS)
     return occurrence.occurrence_points(c.tables.get("occurrences"), c.tables.get("occurrences_lite"), found, rect, numbers, texts)
 
 
 def _tabular(node: dict, kind: str, rect: QueryRect, c: Context) -> DataFrame:
-    _no_sources(node)
-    if kind not in (POINTS, POLYGONS):
-        raise ValueError("tables give points or polygons")
     return tabular.remote_table(c.spark, c.fetch, node["params"]["doi"], node["params"], rect)
 
 
 def _csv(node: dict, kind: str, rect: QueryRect, c: Context) -> DataFrame:
-    _no_sources(node)
     return tabular.csv_points(c.spark, node["params"], rect)
 
 
 def _resolver(node: dict, kind: str, rect: QueryRect, c: Context) -> DataFrame:
     how = terminology.Resolution.from_params(node["params"])
-    sources = [s for group in (node.get("sources") or {}).values() for s in group]
-    if len(sources) != 1:
-        raise ValueError("the resolver takes one source")
-    features = build_node(sources[0], kind, rect, c)
+    (source,) = [s for group in node["sources"].values() for s in group]
+    features = build_node(source, kind, rect, c)
     if c.resolve:
         return terminology.resolve_by_service(features, lambda names: c.resolve(names, how), how)
     return terminology.resolve_by_table(features, c.table("terms"), how)
@@ -102,7 +149,7 @@ BUILDERS = {"archive_source": _archive, "occurrence_source": _occurrence, "tabul
 
 
 def build_node(node: dict, kind: str, rect: QueryRect, c: Context) -> DataFrame:
-    return BUILDERS[c.kind(node)](node, kind, rect, c)
+    return BUILDERS[check_node(node, kind, c.aliases)](node, kind, rect, c)
 
 
 def build(query: dict | str, c: Context, cached: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.attributes import numeric, path_hash, textual
 from geoloom.functions.rect import QueryRect, inside_closed
+from geoloom.sources.tables import small
 
 # Paths of the archive schema.
 UNIT_ID = "/DataSets/DataSet/Units/Unit/UnitID"
@@ -23,20 +24,29 @@ SOFT_CAP = 100_000
 SEED = 618651
 
 
-def sample_to(rows: DataFrame, cap: int = SOFT_CAP, seed: int = SEED) -> DataFrame:
-    """All rows if there are cap or fewer, else each row with probability cap / count."""
+def sample_to(rows: DataFrame, keys: list[str], cap: int = SOFT_CAP, seed: int = SEED) -> DataFrame:
+    """All rows if there are cap or fewer, else each with a chance of cap / count: those whose md5 of the seed and the keys is
+    below that share. A task that is done again keeps the same rows, and so does another partitioning; rows of the same
+    keys stay or go together. Null keys count as empty texts."""
     total = rows.agg(F.count("*").alias("__total")).first()["__total"]  # one number
-    return rows if total <= cap else rows.where(F.rand(seed) <= F.lit(cap / total))
+    if total <= cap:
+        return rows
+    texts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    place = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *texts).cast("binary")), 1, 12)
+    return rows.where(place < F.lit(f"{(cap << 48) // total:012x}"))
 
 
 def units_of(datasets: DataFrame, units: DataFrame, dataset_id: str, x: Column, y: Column, rect: QueryRect, unit_id: Column | None = None, ids: Iterable[str] | None = None) -> DataFrame:
-    """Units of a dataset inside or on the rectangle; with ids (not empty) only those units."""
-    picked = datasets.where(F.col("dataset_id") == dataset_id).join(units, "surrogate_key")
+    """Units of a dataset inside or on the rectangle; with ids (not empty) only those units. Up to 1,000 ids are a filter that
+    reaches the scan, more are a table that is joined; the result is the same. The dataset's keys go to every executor if
+    they are few (counted)."""
+    keys = datasets.where(F.col("dataset_id") == dataset_id)
+    picked = units.join(small(keys), "surrogate_key")
     ids = sorted(set(ids or ()))
     if ids:
         if len(ids) > 1000:
             spark = datasets.sparkSession
-            picked = picked.join(spark.createDataFrame([(i,) for i in ids], "__id string"), unit_id == F.col("__id"), "left_semi")
+            picked = picked.join(small(spark.createDataFrame([(i,) for i in ids], "__id string")), unit_id == F.col("__id"), "left_semi")
         else:
             picked = picked.where(unit_id.isin(ids))
     return picked.where(x.isNotNull() & y.isNotNull() & inside_closed(x, y, rect))
@@ -48,9 +58,9 @@ def archive_points(datasets: DataFrame, units: DataFrame, path: str, rect: Query
     Numbers are cast hard, as archives state their types: what isn't a number is an error. More than cap rows are sampled.
     """
     x, y = (F.col(path_hash(p)).cast("double") for p in (LONGITUDE, LATITUDE))
-    rows = units_of(datasets, units, path, x, y, rect, F.col(path_hash(UNIT_ID)), ids)
+    rows = sample_to(units_of(datasets, units, path, x, y, rect, F.col(path_hash(UNIT_ID)), ids), ["surrogate_key", path_hash(UNIT_ID)], cap)
     attributes = [numeric(F.col(path_hash(p)), p, tolerant=False) for p in numeric_paths] + [textual(F.col(path_hash(p)), p) for p in textual_paths]
-    return sample_to(rows.select(x.alias("x"), y.alias("y"), *attributes), cap)
+    return rows.select(x.alias("x"), y.alias("y"), *attributes)
 
 
 def archive_provenance(datasets: DataFrame, path: str, operator: str = "archive_source") -> DataFrame:
@@ -58,5 +68,10 @@ def archive_provenance(datasets: DataFrame, path: str, operator: str = "archive_
     found = datasets.where(F.col("dataset_id") == path).limit(1)
     if found.isEmpty():
         raise ValueError(f"the dataset {path} does not exist")
+    return provenance_of(found, operator).drop("dataset_id")
+
+
+def provenance_of(datasets: DataFrame, operator: str = "archive_source") -> DataFrame:
+    """dataset_id, citation, license, uri, local_identifier of datasets, one row each; null texts are empty."""
     text = lambda p: F.coalesce(F.col(path_hash(p)).cast("string"), F.lit(""))
-    return found.select(text(CITATION).alias("citation"), text(LICENSE).alias("license"), text(URI).alias("uri"), F.lit(f"data.{operator}").alias("local_identifier"))
+    return datasets.select("dataset_id", text(CITATION).alias("citation"), text(LICENSE).alias("license"), text(URI).alias("uri"), F.lit(f"data.{operator}").alias("local_identifier"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geoloom.functions.attributes import OCCURRENCE_COLUMNS, numeric, textual
 from geoloom.functions.rect import QueryRect, inside_open
 from geoloom.operators.taxa import ranges_of
+from geoloom.sources.tables import small
 
 #: The data source whose provenance lists the datasets of occurrences (compared with case), and fixed values of the other.
 OCCURRENCE_LABEL = "GBIF"
@@ -20,25 +21,28 @@ def occurrence_points(wide: DataFrame, narrow: DataFrame, taxa: DataFrame, rect:
     """x, y and attributes of the occurrences of taxa strictly inside the rectangle.
 
     Without attributes the narrow table (taxon, x, y) is read, else the wide one. taxa: one column, taxon, repeats allowed.
-    Spark sends taxa to all executors when its own size estimate allows, else both sides are shuffled by taxon.
+    Taxa go to every executor if they are few (counted), else both sides are shuffled by taxon.
     """
     for name in (*numeric_names, *textual_names):
         if name not in OCCURRENCE_COLUMNS:
             raise ValueError(f"`{name}` is no column of occurrences")
     if not numeric_names and not textual_names:
         rows = narrow.where(inside_open(F.col("x"), F.col("y"), rect))
-        return rows.join(taxa, "taxon", "left_semi").select("x", "y")
+        return rows.join(small(taxa), "taxon", "left_semi").select("x", "y")
     x, y = F.col("decimallongitude").cast("double"), F.col("decimallatitude").cast("double")
-    rows = wide.where(inside_open(x, y, rect)).join(taxa, wide["taxonkey"] == taxa["taxon"], "left_semi")
+    rows = wide.where(inside_open(x, y, rect)).join(small(taxa), wide["taxonkey"] == taxa["taxon"], "left_semi")
     return rows.select(x.alias("x"), y.alias("y"), *[numeric(F.col(n), n) for n in numeric_names], *[textual(F.col(n), n) for n in textual_names])
 
 
-def occurrence_ranges(ranges: DataFrame, names: DataFrame) -> DataFrame:
-    """One row, geometry_wkt: the ranges of the named species as one collection, in the order of their texts; no row without
-    any. The rectangle is not looked at. The result is one value, so one task ends up with all matching shapes."""
+def occurrence_ranges(ranges: DataFrame, names: DataFrame, by_name: bool = False) -> DataFrame:
+    """geometry_wkt: the ranges of the named species as one collection, in the order of their texts; no row without any. The
+    rectangle is not looked at. That is one value, so one task ends up with all matching shapes; with by_name there is a row
+    (name, geometry_wkt) for each species, and tasks share the work. For the shapes themselves, as rows, see taxa.ranges_of().
+    """
     shapes = F.array_sort(F.collect_list("geometry_wkt"))
-    one = ranges_of(ranges, names).where("geometry_wkt is not null").agg(F.concat(F.lit("GEOMETRYCOLLECTION("), F.array_join(shapes, ","), F.lit(")")).alias("geometry_wkt"), F.count("*").alias("n"))
-    return one.where("n > 0").select("geometry_wkt")
+    found = ranges_of(ranges, names).where("geometry_wkt is not null").groupBy(*[F.lower("binomial").alias("name")] * by_name)
+    one = found.agg(F.concat(F.lit("GEOMETRYCOLLECTION("), F.array_join(shapes, ","), F.lit(")")).alias("geometry_wkt"), F.count("*").alias("n"))
+    return one.where("n > 0").drop("n")
 
 
 def occurrence_provenance(spark: SparkSession, data_source: str, narrow: DataFrame, datasets: DataFrame, taxa: DataFrame, operator: str = "occurrence_source") -> DataFrame:
@@ -47,6 +51,6 @@ def occurrence_provenance(spark: SparkSession, data_source: str, narrow: DataFra
     if data_source != OCCURRENCE_LABEL:
         row = (RANGE_CITATION, RANGE_LICENSE, RANGE_URI, f"data.{operator}.ranges")
         return spark.createDataFrame([row], "citation string, license string, uri string, local_identifier string")
-    used = narrow.join(taxa, "taxon", "left_semi").select(F.col("uid").alias("key")).distinct()
+    used = narrow.join(small(taxa), "taxon", "left_semi").select(F.col("uid").alias("key")).distinct()
     rows = datasets.join(used, "key").select("key", "citation", "uri").distinct()
     return rows.select("citation", F.lit("").alias("license"), "uri", F.lit(f"data.{operator}.occurrences").alias("local_identifier"))

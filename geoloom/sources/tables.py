@@ -1,8 +1,40 @@
-"""Where tables come from: files in a folder, or a database."""
+"""Where tables come from (files in a folder, or a database), and where interim ones go."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of one narrow column that may be sent to every executor.
+BROADCAST_ROWS = 200_000
+
+
+def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows, marked for sending to every executor if they are counted to be most or fewer. More are left to a shuffle, before
+    which Spark drops what can't match by a bloom filter where that pays."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one if it is unset and all run on this
+    machine; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="geoloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table of the shared folder: what made them isn't asked again."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def from_folder(spark: SparkSession, folder: str, names: list[str], suffix: str = ".parquet") -> dict[str, DataFrame]:

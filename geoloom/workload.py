@@ -7,6 +7,7 @@ orders are archives, and so on. Each query goes through the operator that it is
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from geoloom.functions import attributes, metadata
 from geoloom.functions.rect import QueryRect, inside_closed, inside_open
 from geoloom.operators import catalog, taxa, terminology
 from geoloom.plans import graph
-from geoloom.sources import archive, occurrence, tabular
+from geoloom.sources import archive, occurrence, tables, tabular
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,11 +57,11 @@ def unit_filter(spark, d):
 
 
 def sample_cap(spark, d):
-    return archive.sample_to(_points(spark, d))
+    return archive.sample_to(_points(spark, d), ["vec_id"])
 
 
 def sample_active(spark, d):
-    return archive.sample_to(_read(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), 1000)
+    return archive.sample_to(_read(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 1000)
 
 
 def taxa_query(spark, d):
@@ -112,20 +113,203 @@ def species_search(spark, d):
     return taxa.search_species(_terms(spark, d), "RED", "Economy")
 
 
+def _shapes(spark, d):
+    return _read(spark, d, "customer").select(F.upper("c_mktsegment").alias("binomial"), F.concat(F.lit("POINT("), F.col("c_custkey"), F.lit(" "), F.col("c_nationkey"), F.lit(")")).alias("geometry_wkt"))
+
+
+def _segments(spark, d):
+    return _read(spark, d, "customer").where("c_mktsegment in ('MACHINERY', 'BUILDING')").select(F.lower("c_mktsegment").alias("name")).distinct()
+
+
 def collect_geometry(spark, d):
-    c = _read(spark, d, "customer").where("c_custkey < 200")
-    ranges = c.select(F.upper("c_mktsegment").alias("binomial"), F.concat(F.lit("POINT("), F.col("c_custkey"), F.lit(" "), F.col("c_nationkey"), F.lit(")")).alias("geometry_wkt"))
-    return occurrence.occurrence_ranges(ranges, spark.createDataFrame([("machinery",)], "name string"))
+    return occurrence.occurrence_ranges(_shapes(spark, d), _segments(spark, d), by_name=True)
+
+
+def range_shapes(spark, d):
+    return taxa.ranges_of(_shapes(spark, d), _segments(spark, d))
 
 
 def attr_nan(spark, d):
-    c = _read(spark, d, "customer").where("c_custkey < 5")
+    c = _read(spark, d, "customer")
     return c.select("c_custkey", F.isnan(attributes.numeric(F.col("c_name"), "v")).alias("is_nan"), attributes.numeric(F.col("c_acctbal"), "balance"), attributes.textual(F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")), "segment"))
 
 
 def json_field(spark, d):
     e = _read(spark, d, "events").where("event_type = 'click'")
-    return e.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "double").alias("k"))
+    return e.select("event_id", metadata.json_number(F.col("props"), "$.k").alias("k"))
+
+
+def archive_points(spark, d):
+    return archive.archive_points(*_archive(spark, d), "1-URGENT", QueryRect(0, 0, 60, 40), [WEIGHT], [COLOUR], cap=2000).toDF("x", "y", "weight", "colour")
+
+
+def archive_units(spark, d):
+    """Units of a dataset by their ids, with an attribute."""
+    return archive.archive_points(*_archive(spark, d), "2-HIGH", QueryRect(-180, -90, 180, 90), [], [COLOUR], ["1", "5", "5"]).toDF("x", "y", "colour")
+
+
+WEIGHT, COLOUR = "/DataSets/DataSet/Units/Unit/Weight", "/DataSets/DataSet/Units/Unit/Colour"
+
+
+def _archive(spark, d):
+    """Orders as datasets (one surrogate key each, grouped by priority) and lineitems as their units."""
+    datasets = _read(spark, d, "orders").select(F.col("o_orderkey").alias("surrogate_key"), F.col("o_orderpriority").alias("dataset_id"))
+    named = {archive.UNIT_ID: F.col("l_linenumber").cast("string"), archive.LONGITUDE: F.col("l_extendedprice") / 1000, archive.LATITUDE: F.col("l_quantity"), WEIGHT: F.col("l_tax"), COLOUR: F.nullif(F.col("l_returnflag"), F.lit("R"))}
+    units = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("surrogate_key"), *[c.alias(attributes.path_hash(p)) for p, c in named.items()])
+    return datasets, units
+
+
+def _customer_archives(spark, d):
+    named = {archive.CITATION: F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")), archive.URI: F.concat(F.lit("http://example.org/"), F.col("c_custkey")), archive.LICENSE: F.lit(None).cast("string")}
+    return _read(spark, d, "customer").select(F.col("c_name").alias("dataset_id"), *[c.alias(attributes.path_hash(p)) for p, c in named.items()])
+
+
+def archive_provenance(spark, d):
+    return archive.provenance_of(_customer_archives(spark, d))
+
+
+def _nation_metadata(spark, d):
+    """doi and json of a dataset for each nation but those of region 2: nations of region 0 have a point as coverage, those of region 1 a
+    box, others coordinate columns."""
+    n = _read(spark, d, "nation").where("n_regionkey != 2")
+    name = lambda x: F.struct(F.lit(x).alias("name"))
+    measured = F.struct(F.lit("Depth").alias("name"), F.lit("m").alias("unitText"))
+    coordinates = F.array(F.to_json(name("Latitude")), F.to_json(name("Longitude")), F.to_json(measured))
+    key = F.col("n_nationkey").cast("string")
+    geo = F.when(F.col("n_regionkey") == 0, F.concat(F.lit('{"@type":"GeoCoordinates","longitude":'), key, F.lit('.5,"latitude":1}')))
+    geo = geo.when(F.col("n_regionkey") == 1, F.concat(F.lit('{"@type":"GeoShape","box":"1 '), key, F.lit(' 3.25 40"}')))
+    doc = F.concat(
+        F.lit('{"name":"'), F.col("n_name"), F.lit('","license":"CC-BY","url":"http://example.org/'), key, F.lit('","creator":{"familyName":"Doe","givenName":"'), F.col("n_name"), F.lit('"}'),
+        F.coalesce(F.concat(F.lit(',"spatialCoverage":{"geo":'), geo, F.lit("}")), F.lit("")),
+        F.lit(',"variableMeasured":['), F.when(F.col("n_regionkey") > 1, F.array_join(coordinates, ",")).otherwise(F.to_json(measured)), F.lit("]"),
+        F.lit(',"distribution":[{"fileFormat":"text/html","contentUrl":"h"},{"fileFormat":"text/tab-separated-values","contentUrl":"t'), key, F.lit('"}]}'),
+    )
+    return n.select(F.concat(F.lit("10.1/"), key).alias("doi"), doc.alias("json"))
+
+
+def metadata_entry(spark, d):
+    rows = catalog.table_entries(_nation_metadata(spark, d))
+    return rows.select("doi", "title", "data_link", "is_georeferenced", "geometry", "column_x", "column_y", "result_type", F.size("parameters").alias("n_parameters"), "usable")
+
+
+def metadata_coverage(spark, d):
+    return metadata.parse_metadata(_nation_metadata(spark, d)).select("doi", "coverage", "coverage_wkt", F.get("authors", 0).alias("author"))
+
+
+def table_provenance(spark, d):
+    cited = _read(spark, d, "nation").where("n_nationkey != 3").select(F.concat(F.lit("10.1/"), F.col("n_nationkey")).alias("doi"), F.concat(F.lit("Doe, "), F.col("n_name")).alias("citation"))
+    return tabular.table_provenance(_nation_metadata(spark, d), cited)
+
+
+def _texts(spark, d):
+    """A text table for each nation: comment, header, and a row for each of its customers, of which some can't be read."""
+    balance = F.when(F.col("c_custkey") % 7 == 0, "bad").when(F.col("c_custkey") % 11 == 0, "").otherwise(F.col("c_acctbal").cast("string"))
+    line = F.concat_ws("\t", F.col("c_custkey"), F.col("c_nationkey"), balance, F.col("c_mktsegment"))
+    head = "/* customers\nof a nation */\n" + tabular.header(["Key", "Nation", "Balance", "Note"], "\t") + "\n"
+    texts = _read(spark, d, "customer").groupBy(F.concat(F.lit("10.1/"), F.col("c_nationkey")).alias("doi")).agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("text"))
+    return tabular.rows_of(texts, "text", ["Key", "Nation", "Balance", "Note"], "\t", keep=["doi"])
+
+
+def tabular_points(spark, d):
+    params = {"columns": {"x": "Key", "y": "Nation", "numeric": ["Balance"], "textual": ["Note"]}, "on_error": "keep"}
+    found = tabular.features(_texts(spark, d), params, QueryRect(10, 2, 1000, 20), keep=["doi"])
+    return found.select("doi", "x", "y", F.nanvl("Balance", F.lit(-1.0)).alias("balance"), F.col("Note").alias("note"))
+
+
+def tabular_shapes(spark, d):
+    """Rows of tables without coordinates: the dataset's coverage is the geometry of each row that can be read."""
+    covered = metadata.parse_metadata(_nation_metadata(spark, d)).where("coverage != 'NONE'").select("doi", "coverage_wkt")
+    params = {"geometry": "wkt", "columns": {"numeric": ["Balance"], "textual": ["Key"]}, "on_error": "skip"}
+    found = tabular.features(_texts(spark, d).join(covered, "doi"), params, default_wkt=F.col("coverage_wkt"))
+    return found.select("geometry_wkt", F.nanvl("Balance", F.lit(-1.0)).alias("balance"), F.col("Key").alias("key"))
+
+
+def remote_table(spark, d):
+    """Every nation's table as one that is fetched, in tasks: here from its name."""
+    dois = _read(spark, d, "nation").select(F.col("n_name").alias("doi"))
+    lines = tabular.fetch_lines(dois, lambda doi, kind: "/* of " + doi + " */\nh\n" + "".join(f"{k}\t{c}\n" for k, c in enumerate(doi)))
+    return tabular.split_lines(lines, ["place", "letter"], "\t", ["doi"])
+
+
+def csv_resolver(spark, d):
+    """The resolver over points of a CSV file, as a graph."""
+    path = f"{tables.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    c = _read(spark, d, "customer")
+    c.select(F.col("c_custkey").alias("X"), F.col("c_nationkey").alias("Y"), F.col("c_mktsegment").alias("Name"), F.col("c_acctbal").alias("Num")).write.option("header", True).csv(path)
+    terms = _read(spark, d, "customer").where("c_mktsegment != 'BUILDING'").select(F.lit("segments").alias("terminology"), F.col("c_mktsegment").alias("query"), F.lower("c_mktsegment").alias("label"))
+    query = {
+        "query_result": "points", "spatial_reference": {"projection": "EPSG:4326", "x1": 0, "x2": 1e9, "y1": 3, "y2": 20},
+        "query": {
+            "type": "terminology_resolver",
+            "params": {"attribute_name": "Name", "resolved_attribute": "term", "terminology": "segments", "key": "label", "match_type": "exact", "first_hit": True, "on_not_resolvable": "EMPTY"},
+            "sources": {"points": [{"type": "ogr_source", "params": {"filename": path, "on_error": "abort", "time": "none", "columns": {"x": "X", "y": "Y", "numeric": ["Num"], "textual": ["Name"]}}}]},
+        },
+    }
+    return graph.build(query, graph.Context(spark, {"terms": terms})).select("x", "y", F.col("Num").alias("num"), F.col("Name").alias("name"), "term")
+
+
+def _basket_documents(spark, d):
+    """A basket for each customer, with a tabular entry, a unit and an archive. Keywords of every third are deep in a query, every
+    fifth has no date and so is no basket."""
+    key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    q = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    entries = q(
+        '[{"metadatalink":"http://doi.pangaea.de/10.1/', nation, '","title":"own ', key, '"},{"metadatalink":"m","title":"unit","parentIdentifier":"d', nation, '","dcIdentifier":"u', key, '","vatVisualizable":true},',
+        '{"metadatalink":"m","title":"', F.col("c_name"), '","dataCenter":"here","authors":["A","B"],"datalink":"d', nation, '","vatVisualizable":', (F.col("c_acctbal") > 0).cast("string"), "}]",
+    )
+    deep = q('"queryJSON":{"query":{"function_score":{"query":{"filtered":{"query":{"simple_query_string":{"query":"deep ', key, '"}}}}}}}')
+    word = F.when(F.col("c_custkey") % 3 == 0, deep).otherwise(q('"queryKeyword":"word ', key, '"'))
+    date = F.when(F.col("c_custkey") % 5 != 0, q('"lastModifiedDate":"20', key, '",')).otherwise("")
+    doc = q("{", date, '"goesternId":"', F.col("c_mktsegment"), '",', word, ',"basketContent":{"selected":', entries, "}}")
+    return _read(spark, d, "customer").select(key.alias("basket_id"), doc.alias("json"))
+
+
+def _available(spark, d):
+    return _read(spark, d, "nation").where("n_regionkey in (1, 3)").select(F.concat(F.lit("d"), F.col("n_nationkey")).alias("id"))
+
+
+def basket_queries(spark, d):
+    return catalog.baskets(_basket_documents(spark, d)).select("basket_id", "query", "timestamp", "owner")
+
+
+def basket_entries(spark, d):
+    found = catalog.typed_entries(catalog.baskets(_basket_documents(spark, d)), _available(spark, d), _nation_metadata(spark, d))
+    return found.select("basket_id", "position", "type", "title", F.size("authors").alias("n_authors"), "data_center", "data_link", "unit_id", "doi", "available", "result_type", "geometry", "column_x", F.size("parameters").alias("n_parameters"))
+
+
+def basket_documents(spark, d):
+    found = catalog.baskets(_basket_documents(spark, d))
+    return catalog.basket_documents(found, catalog.typed_entries(found, _available(spark, d), _nation_metadata(spark, d)))
+
+
+def session_gate(spark, d):
+    kind = F.when(F.col("s_suppkey") % 2 == 0, "OIDC:").otherwise("LOCAL:")
+    segment = F.element_at(F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    sessions = _read(spark, d, "supplier").select(F.col("s_name").alias("token"), F.concat(kind, segment).alias("external_id"))
+    return catalog.session_baskets(sessions, catalog.baskets(_basket_documents(spark, d))).select("token", "owner", "basket_id")
+
+
+def allowed_urls(spark, d):
+    url = F.concat(F.when(F.col("page_id") % 3 == 0, "/vsicurl/").when(F.col("page_id") % 3 == 1, "/vsicurl_streaming/").otherwise(""), "url")
+    return _read(spark, d, "pages").select("page_id", catalog.allowed_url(url).alias("allowed"))
+
+
+def listing_document(spark, d):
+    return catalog.to_document(listing_archives(spark, d), "archives")
+
+
+def term_queries(spark, d):
+    how = terminology.Resolution("name", "term", "NCBITAXON", on_not_resolvable=terminology.KEEP)
+    return _read(spark, d, "part").select("p_partkey", how.query_strings(F.col("p_name")).alias("query"))
+
+
+def query_checks(spark, d):
+    """Queries, one for each part, with what is wrong with them and their semantic keys."""
+    term = F.substring(F.col("p_name"), F.lit(1), F.col("p_size") % 4 + 1)
+    columns = F.when(F.col("p_partkey") % 5 == 0, '"columns":{"numeric":[]}').when(F.col("p_partkey") % 5 == 1, '"columns":{"numeric":["height"],"textual":[]}').otherwise('"columns":{"textual":["depth"],"numeric":[]},"note":1')
+    kind = F.when(F.col("p_partkey") % 7 == 0, "nothing").otherwise("occurrence_source")
+    query = F.concat(F.lit('{"query_result":"points","query":{"type":"'), kind, F.lit('","params":{"term":"'), term, F.lit('","level":"genus",'), columns, F.lit("}}}"))
+    return graph.check_queries(_read(spark, d, "part").select("p_partkey", query.alias("json"))).drop("json")
 
 
 def resolve_keep(spark, d):
@@ -156,11 +340,11 @@ def page(spark, d):
 
 
 def event_epoch(spark, d):
-    return _read(spark, d, "events").where("event_id < 50").select("event_id", attributes.epoch_seconds(F.col("ts")).alias("epoch"))
+    return _read(spark, d, "events").select("event_id", attributes.epoch_seconds(F.col("ts")).alias("epoch"))
 
 
 def path_hash(spark, d):
-    return _read(spark, d, "nation").select("n_nationkey", F.sha1("n_name").alias("digest"))
+    return _read(spark, d, "nation").select("n_nationkey", attributes.path_hash(F.col("n_name")).alias("digest"))
 
 
 def basket_available(spark, d):
@@ -182,40 +366,12 @@ def listing_archives(spark, d):
 
 
 def point_wkt(spark, d):
-    return _points(spark, d).select("vec_id", attributes.point_wkt(F.col("x"), F.col("y")).alias("wkt"))
+    return _points(spark, d).select("vec_id", attributes.point_wkt(F.col("x"), F.col("y"), attributes.fixed_text).alias("wkt"))
 
 
 def box_wkt(spark, d):
     p = _points(spark, d)
-    return p.select("vec_id", attributes.box_wkt(F.col("x"), F.col("y"), F.col("x") + 1, F.col("y") + 1).alias("wkt"))
-
-
-META = {
-    "name": "Ice cores", "license": "CC-BY", "url": "http://example.org/1", "creator": {"familyName": "Doe", "givenName": "Kim"},
-    "variableMeasured": [{"name": "Latitude"}, {"name": "Longitude"}, {"name": "Depth", "unitText": "m"}, {"name": "Depth", "unitText": "m"}, {"name": "Note", "description": "free"}],
-    "spatialCoverage": {"geo": {"@type": "GeoShape", "box": "10 20 30 40"}},
-    "distribution": [{"fileFormat": "text/html", "contentUrl": "h"}, {"fileFormat": "text/tab-separated-values", "contentUrl": "t"}],
-}
-TABLE = "/* a comment\nover lines */\nLat\tLon\tD\tD\tN\n1.5\t2.5\t10\t\tx\n3\t4\tbad\t7\t\n"
-
-
-def _fetch(identifier: str, kind: str) -> str:
-    return {"metadata": json.dumps(META), "table": TABLE, "citation": "Doe, Kim: Ice cores"}[kind]
-
-
-def metadata_entry(spark, d):
-    rows = spark.createDataFrame([("10.1/x", json.dumps(META))], "doi string, json string")
-    return catalog.table_entries(rows).select("doi", "title", "data_link", "is_georeferenced", "geometry", "column_x", "column_y", "result_type", F.size("parameters").alias("n_parameters"), "usable")
-
-
-def metadata_coverage(spark, d):
-    rows = spark.createDataFrame([(json.dumps(META),)], "json string")
-    return metadata.parse_metadata(rows).select("coverage", "coverage_wkt", F.get("authors", 0).alias("author"))
-
-
-def tabular_points(spark, d):
-    params = {"columns": {"x": "Longitude", "y": "Latitude", "numeric": ["Depth1"], "textual": ["Note free"]}, "on_error": "skip"}
-    return tabular.remote_table(spark, _fetch, "10.1/x", params, QueryRect(-180, -90, 180, 90)).select("x", "y", F.nanvl("Depth1", F.lit(-1.0)).alias("depth"), F.col("Note free").alias("note"))
+    return p.select("vec_id", attributes.box_wkt(F.col("x"), F.col("y"), F.col("x") + 1, F.col("y") + 1, attributes.fixed_text).alias("wkt"))
 
 
 def graph_resolver(spark, d):
@@ -238,7 +394,10 @@ QUERIES = {
     "occ_points": occ_points, "occ_attributes": occ_attributes, "provenance_occ": provenance_occ, "provenance_ranges": provenance_ranges, "source_counts": source_counts, "species_search": species_search,
     "collect_geometry": collect_geometry, "attr_nan": attr_nan, "json_field": json_field, "resolve_keep": resolve_keep, "resolve_empty": resolve_empty, "resolve_service": resolve_service, "page": page,
     "event_epoch": event_epoch, "path_hash": path_hash, "basket_available": basket_available, "listing_available": listing_available, "listing_archives": listing_archives, "point_wkt": point_wkt, "box_wkt": box_wkt,
-    "metadata_entry": metadata_entry, "metadata_coverage": metadata_coverage, "tabular_points": tabular_points, "graph_resolver": graph_resolver,
+    "metadata_entry": metadata_entry, "metadata_coverage": metadata_coverage, "tabular_points": tabular_points, "graph_resolver": graph_resolver, "range_shapes": range_shapes, "archive_points": archive_points,
+    "archive_units": archive_units, "archive_provenance": archive_provenance, "table_provenance": table_provenance, "tabular_shapes": tabular_shapes, "remote_table": remote_table, "csv_resolver": csv_resolver,
+    "basket_queries": basket_queries, "basket_entries": basket_entries, "basket_documents": basket_documents, "session_gate": session_gate, "allowed_urls": allowed_urls, "listing_document": listing_document,
+    "term_queries": term_queries, "query_checks": query_checks,
 }
 
 _XY = "embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y"
@@ -254,7 +413,62 @@ def _fixed(x: str) -> str:
 
 _BOX = " || ', ' || ".join(f"{_fixed(a)} || ' ' || {_fixed(b)}" for a, b in (("x", "y"), ("x", "y + 1"), ("x + 1", "y + 1"), ("x + 1", "y"), ("x", "y")))
 
+def _kept(seed_and_keys: str, rows: str, cap: int) -> str:
+    """The condition of archive.sample_to() on the rows of a named subquery."""
+    return f"(SELECT count(*) FROM {rows}) <= {cap} OR substr(md5({seed_and_keys}), 1, 12) < format('{{:012x}}', ({cap << 48} // (SELECT count(*) FROM {rows}))::BIGINT)"
+
+
+_ARCHIVE = "SELECT o_orderkey, l_linenumber, l_extendedprice / 1000 AS x, l_quantity AS y, l_tax AS weight, CASE WHEN l_returnflag = 'R' THEN '' ELSE l_returnflag END AS colour FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority = '{path}' AND x BETWEEN {x1} AND {x2} AND y BETWEEN {y1} AND {y2}"
+_META = "SELECT *, '10.1/' || n_nationkey AS doi FROM nation WHERE n_regionkey != 2"
+_WKT = "CASE n_regionkey WHEN 0 THEN 'POINT(' || n_nationkey || '.5 1.0)' WHEN 1 THEN 'POLYGON((' || n_nationkey || '.0 1.0, ' || n_nationkey || '.0 3.25, 40.0 3.25, 40.0 1.0, ' || n_nationkey || '.0 1.0))' ELSE '' END"
+_BALANCE = "CASE WHEN c_custkey % 7 = 0 OR c_custkey % 11 = 0 THEN -1.0 ELSE c_acctbal END"
+_WORD = "CASE WHEN c_custkey % 3 = 0 THEN 'deep ' ELSE 'word ' END || c_custkey"
+_BASKETS = "SELECT *, c_custkey::VARCHAR AS basket_id FROM customer WHERE c_custkey % 5 != 0"
+_KNOWN = "SELECT 'd' || n_nationkey AS id FROM nation WHERE n_regionkey IN (1, 3)"
+_ENTRIES = f"""
+WITH b AS ({_BASKETS}), m AS ({_META}), known AS ({_KNOWN})
+SELECT basket_id, 0 AS position, 'table' AS type, coalesce(n_name, 'own ' || c_custkey) AS title, CASE WHEN n_name IS NULL THEN [] ELSE ['Doe, ' || n_name] END AS authors, '{catalog.PUBLISHER}' AS data_center,
+  'http://doi.pangaea.de/10.1/' || c_nationkey AS metadata_link, coalesce('t' || n_nationkey, '') AS data_link, '' AS unit_id, '10.1/' || c_nationkey AS doi, n_name IS NOT NULL AS available,
+  CASE WHEN n_regionkey = 1 THEN 'polygons' WHEN n_name IS NOT NULL THEN 'points' ELSE 'none' END AS result_type, CASE WHEN n_regionkey <= 1 THEN 'WKT' WHEN n_name IS NOT NULL THEN 'XY' ELSE 'NONE' END AS geometry,
+  CASE WHEN n_regionkey > 1 THEN 'Longitude' ELSE '' END AS column_x, (n_name IS NOT NULL)::INTEGER AS n_parameters
+FROM b LEFT JOIN m ON c_nationkey = n_nationkey
+UNION ALL
+SELECT basket_id, 1, 'archive', 'unit', [], '', 'm', 'd' || c_nationkey, 'u' || c_custkey, '', id IS NOT NULL, 'points', '', '', 0 FROM b LEFT JOIN known ON id = 'd' || c_nationkey
+UNION ALL
+SELECT basket_id, 2, 'archive', c_name, ['A', 'B'], 'here', 'm', 'd' || c_nationkey, '', '', id IS NOT NULL AND c_acctbal > 0, 'points', '', '', 0 FROM b LEFT JOIN known ON id = 'd' || c_nationkey"""
+_TEXTS = """CASE WHEN len(authors) = 0 THEN '[]' ELSE '["' || array_to_string(authors, '","') || '"]' END"""
+_ENTRY = f"""'{{"authors":' || {_TEXTS} || ',"title":"' || title || '","dataCenter":"' || data_center || '","metadataLink":"' || metadata_link || '","dataLink":"' || data_link || '","available":' || available
+  || ',"parameters":' || CASE n_parameters WHEN 1 THEN '[{{"name":"Depth","unit":"m","numeric":true}}]' ELSE '[]' END || ',"resultType":"' || result_type || '","type":'
+  || CASE type WHEN 'archive' THEN '"abcd","unitId":"' || unit_id || '"' ELSE '"pangaea","doi":"' || doi || '","format":"' || CASE WHEN available THEN 'text/tab-separated-values' ELSE '' END || '","isTabSeparated":' || available
+    || ',"isGeoReferenced":' || available || ',"geometrySpecification":"' || geometry || '"' || CASE geometry WHEN 'XY' THEN ',"column_x":"Longitude","column_y":"Latitude"' ELSE '' END END || '}}'"""
+_TERM = "substr(p_name, 1, p_size % 4 + 1)"
+_ERROR = f"""CASE WHEN p_partkey % 7 = 0 THEN 'unknown operator ''nothing''' WHEN length({_TERM}) < 3 THEN '`term` needs at least 3 characters' WHEN p_partkey % 5 = 0 THEN '`columns.textual` must be an array'
+  WHEN p_partkey % 5 = 1 THEN '`height` is no column of this source' END"""
+
 ORACLE_SQL = {
+    "collect_geometry": "SELECT lower(c_mktsegment) AS name, 'GEOMETRYCOLLECTION(' || string_agg(g, ',' ORDER BY g) || ')' AS geometry_wkt FROM (SELECT c_mktsegment, 'POINT(' || c_custkey || ' ' || c_nationkey || ')' AS g FROM customer WHERE c_mktsegment IN ('MACHINERY', 'BUILDING')) GROUP BY ALL",
+    "range_shapes": "SELECT upper(c_mktsegment) AS binomial, 'POINT(' || c_custkey || ' ' || c_nationkey || ')' AS geometry_wkt FROM customer WHERE c_mktsegment IN ('MACHINERY', 'BUILDING')",
+    "attr_nan": "SELECT c_custkey, TRY_CAST(c_name AS DOUBLE) IS NULL AS is_nan, c_acctbal AS balance, coalesce(nullif(c_mktsegment, 'BUILDING'), '') AS segment FROM customer",
+    "event_epoch": "SELECT event_id, epoch_us(ts) / 1e6 AS epoch FROM events",
+    "sample_active": f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_kept(f"'{archive.SEED}:' || l_orderkey || ':' || l_linenumber", 'lineitem', 1000)}",
+    "archive_points": f"WITH u AS ({_ARCHIVE.format(path='1-URGENT', x1=0, x2=60, y1=0, y2=40)}) SELECT x, y, weight, colour FROM u WHERE {_kept(f"'{archive.SEED}:' || o_orderkey || ':' || l_linenumber", 'u', 2000)}",
+    "archive_units": f"SELECT x, y, colour FROM ({_ARCHIVE.format(path='2-HIGH', x1=-180, x2=180, y1=-90, y2=90)}) WHERE l_linenumber IN (1, 5)",
+    "archive_provenance": "SELECT c_name AS dataset_id, CASE c_mktsegment WHEN 'BUILDING' THEN '' ELSE c_mktsegment END AS citation, '' AS license, 'http://example.org/' || c_custkey AS uri, 'data.archive_source' AS local_identifier FROM customer",
+    "metadata_entry": f"SELECT doi, n_name AS title, 't' || n_nationkey AS data_link, true AS is_georeferenced, CASE WHEN n_regionkey > 1 THEN 'XY' ELSE 'WKT' END AS geometry, CASE WHEN n_regionkey > 1 THEN 'Longitude' ELSE '' END AS column_x, CASE WHEN n_regionkey > 1 THEN 'Latitude' ELSE '' END AS column_y, CASE n_regionkey WHEN 1 THEN 'polygons' ELSE 'points' END AS result_type, 1::INTEGER AS n_parameters, true AS usable FROM ({_META})",
+    "metadata_coverage": f"SELECT doi, CASE n_regionkey WHEN 0 THEN 'POINT' WHEN 1 THEN 'BOX' ELSE 'NONE' END AS coverage, {_WKT} AS coverage_wkt, 'Doe, ' || n_name AS author FROM ({_META})",
+    "table_provenance": f"SELECT doi, CASE WHEN n_nationkey = 3 THEN '' ELSE 'Doe, ' || n_name END AS citation, 'CC-BY' AS license, 'http://example.org/' || n_nationkey AS uri, 'data.tabular_source' AS local_identifier FROM ({_META})",
+    "tabular_points": f"SELECT '10.1/' || c_nationkey AS doi, c_custkey::DOUBLE AS x, c_nationkey::DOUBLE AS y, {_BALANCE} AS balance, c_mktsegment AS note FROM customer WHERE c_custkey BETWEEN 10 AND 1000 AND c_nationkey BETWEEN 2 AND 20",
+    "tabular_shapes": f"SELECT {_WKT} AS geometry_wkt, {_BALANCE} AS balance, c_custkey::VARCHAR AS key FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <= 1 AND c_custkey % 7 != 0",
+    "remote_table": "SELECT n_name AS doi, (i - 1)::VARCHAR AS place, substr(n_name, i, 1) AS letter FROM (SELECT n_name, unnest(range(1, length(n_name) + 1)) AS i FROM nation)",
+    "csv_resolver": "SELECT c_custkey::DOUBLE AS x, c_nationkey::DOUBLE AS y, c_acctbal AS num, c_mktsegment AS name, CASE c_mktsegment WHEN 'BUILDING' THEN '' ELSE lower(c_mktsegment) END AS term FROM customer WHERE c_nationkey BETWEEN 3 AND 20",
+    "basket_queries": f"SELECT basket_id, {_WORD} AS query, '20' || c_custkey AS timestamp, c_mktsegment AS owner FROM ({_BASKETS})",
+    "basket_entries": f"SELECT * EXCLUDE (authors, metadata_link), len(authors)::INTEGER AS n_authors FROM ({_ENTRIES})",
+    "basket_documents": f"WITH e AS (SELECT basket_id, string_agg({_ENTRY}, ',' ORDER BY position) AS r FROM ({_ENTRIES}) GROUP BY basket_id) SELECT basket_id, '{{\"query\":\"' || {_WORD} || '\",\"timestamp\":\"20' || c_custkey || '\",\"results\":[' || r || ']}}' AS json FROM ({_BASKETS}) JOIN e USING (basket_id)",
+    "session_gate": f"SELECT s_name AS token, owner, basket_id FROM (SELECT s_name, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY', 'HOUSEHOLD'][s_suppkey % 5 + 1] AS owner FROM supplier WHERE s_suppkey % 2 = 0) JOIN ({_BASKETS}) ON owner = c_mktsegment",
+    "allowed_urls": "SELECT page_id, coalesce(page_id % 3 < 2 AND (starts_with(url, 'http://') OR starts_with(url, 'https://')), false) AS allowed FROM pages",
+    "listing_document": "SELECT '{\"archives\":[' || string_agg(j, ',' ORDER BY j) || ']}' AS json FROM (SELECT '{\"link\":\"l/' || c_custkey || '\",\"dataset\":\"' || c_name || '\",\"file\":' || c_custkey || ',\"provider\":\"' || c_mktsegment || '\",\"available\":' || (c_acctbal > 0) || ',\"isGeoReferenced\":' || (c_nationkey > 10) || '}' AS j FROM customer)",
+    "term_queries": "SELECT p_partkey, 'query=' || replace(p_name, ' ', '+') || '&terminologies=NCBITAXON&match_type=exact&first_hit=true' AS query FROM part",
+    "query_checks": f"SELECT p_partkey, {_ERROR} AS error, CASE WHEN {_ERROR} IS NULL THEN '{{\"params\": {{\"columns\": {{\"numeric\": [], \"textual\": [\"depth\"]}}, \"level\": \"genus\", \"term\": \"' || {_TERM} || '\"}}, \"sources\": {{}}, \"type\": \"occurrence_source\"}}' END AS semantic_key FROM part",
     "bbox_closed": f"SELECT * FROM (SELECT vec_id, {_XY} FROM embeddings) WHERE x BETWEEN -0.1 AND 0.1 AND y BETWEEN -0.05 AND 0.2",
     "bbox_open": "SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_quantity > 10 AND l_quantity < 20 AND l_discount > 0.02 AND l_discount < 0.05",
     "unit_join": _UNITS.format(unit="l_linenumber", where="l_extendedprice BETWEEN 1000 AND 60000 AND l_quantity BETWEEN 1 AND 40"),
@@ -268,22 +482,16 @@ ORACLE_SQL = {
     "provenance_ranges": f"SELECT '{occurrence.RANGE_CITATION}' AS citation, '{occurrence.RANGE_LICENSE}' AS license, '{occurrence.RANGE_URI}' AS uri, 'data.occurrence_source.ranges' AS local_identifier",
     "source_counts": "SELECT 'occurrences' AS name, count(*) AS count FROM lineitem WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL AND l_partkey IN (SELECT p_partkey FROM part WHERE p_name ILIKE 'red%') UNION ALL SELECT 'ranges', count(*) FROM part WHERE lower(p_name) IN (SELECT lower(p_name) FROM part WHERE p_name ILIKE 'red%')",
     "species_search": "SELECT p_name AS term FROM part WHERE p_name ILIKE 'RED%' AND lower(p_type) = lower('Economy') ORDER BY p_name",
-    "collect_geometry": "SELECT 'GEOMETRYCOLLECTION(' || string_agg(g, ',' ORDER BY g) || ')' AS geometry_wkt FROM (SELECT 'POINT(' || c_custkey || ' ' || c_nationkey || ')' AS g FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey < 200) HAVING count(*) > 0",
-    "attr_nan": "SELECT c_custkey, TRY_CAST(c_name AS DOUBLE) IS NULL AS is_nan, c_acctbal AS balance, coalesce(nullif(c_mktsegment, 'BUILDING'), '') AS segment FROM customer WHERE c_custkey < 5",
     "json_field": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events WHERE event_type = 'click'",
     "resolve_keep": _RESOLVE.format(default="user_id::VARCHAR"),
     "resolve_empty": _RESOLVE.format(default="''"),
     "resolve_service": "SELECT event_id, event_type AS kind, CASE WHEN event_type LIKE 'c%' THEN upper(event_type) ELSE event_type END AS resolved FROM events",
     "page": "SELECT o_orderkey AS basket_id, o_totalprice AS query FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 10 OFFSET 20",
-    "event_epoch": "SELECT event_id, epoch_us(ts) / 1e6 AS epoch FROM events WHERE event_id < 50",
     "path_hash": "SELECT n_nationkey, sha1(n_name) AS digest FROM nation",
     "basket_available": "SELECT d.doc_id::VARCHAR AS data_link, d.source AS title, (l.doc_id IS NOT NULL AND d.n_chars > 100) AS available, 'points' AS result_type FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id",
     "listing_available": "SELECT doc_id AS id FROM labels WHERE quality = 1",
     "listing_archives": "SELECT 'l/' || c_custkey AS link, c_name AS dataset, c_custkey AS file, c_mktsegment AS provider, c_acctbal > 0 AS available, c_nationkey > 10 AS \"isGeoReferenced\" FROM customer",
     "point_wkt": f"SELECT vec_id, 'POINT(' || {_fixed('x')} || ' ' || {_fixed('y')} || ')' AS wkt FROM (SELECT vec_id, {_XY} FROM embeddings)",
     "box_wkt": f"SELECT vec_id, 'POLYGON((' || {_BOX} || '))' AS wkt FROM (SELECT vec_id, {_XY} FROM embeddings)",
-    "metadata_entry": "SELECT '10.1/x' AS doi, 'Ice cores' AS title, 't' AS data_link, true AS is_georeferenced, 'XY' AS geometry, 'Longitude' AS column_x, 'Latitude' AS column_y, 'points' AS result_type, 3::INTEGER AS n_parameters, true AS usable",
-    "metadata_coverage": "SELECT 'BOX' AS coverage, 'POLYGON((20.000000 10.000000, 20.000000 30.000000, 40.000000 30.000000, 40.000000 10.000000, 20.000000 10.000000))' AS coverage_wkt, 'Doe, Kim' AS author",
-    "tabular_points": "SELECT * FROM (VALUES (2.5::DOUBLE, 1.5::DOUBLE, -1.0::DOUBLE, 'x'), (4.0, 3.0, 7.0, '')) t(x, y, depth, note)",
     "graph_resolver": f"SELECT l_extendedprice AS x, l_quantity AS y, l_linestatus AS basisofrecord, CASE l_linestatus WHEN 'O' THEN 'open' ELSE l_linestatus END AS status {_OCC}",
 }

@@ -53,7 +53,7 @@ def test_documents_of_entries(spark, documents, available):
 
 def test_remote_baskets(spark, available):
     documents = catalog.fetch_basket(spark, lambda q: json.dumps(BASKET) if q == "basketID=b" else "", "b")
-    assert catalog.basket_entries(documents, available, "b", "me").count() == 5
+    assert catalog.basket_entries(documents, available, "b", "me").count() == 6
     for call in (lambda: catalog.fetch_basket(spark, lambda q: "<html>", "b"), lambda: catalog.fetch_baskets(spark, lambda q: "{", "me")):
         with pytest.raises(RuntimeError, match="no JSON"):
             call()

@@ -30,10 +30,11 @@ def parsed(spark, document):
 @pytest.mark.parametrize(
     ("geo", "kind", "wkt"),
     [
-        ({"@type": "GeoShape", "box": "1 2 3 4"}, "BOX", "POLYGON((2.000000 1.000000, 2.000000 3.000000, 4.000000 3.000000, 4.000000 1.000000, 2.000000 1.000000))"),
-        ({"@type": "GeoShape", "box": "1 x 3 4"}, "BOX", "POLYGON((0.000000 0.000000, 0.000000 0.000000, 0.000000 0.000000, 0.000000 0.000000, 0.000000 0.000000))"),
-        ({"@type": "GeoShape", "box": "1"}, "BOX", "POLYGON((0.000000 0.000000, 0.000000 0.000000, 0.000000 0.000000, 0.000000 0.000000, 0.000000 0.000000))"),
-        ({"@type": "GeoCoordinates", "longitude": 7.5, "latitude": -2}, "POINT", "POINT(7.500000 -2.000000)"),
+        ({"@type": "GeoShape", "box": "1 2 3 4"}, "BOX", "POLYGON((2.0 1.0, 2.0 3.0, 4.0 3.0, 4.0 1.0, 2.0 1.0))"),
+        ({"@type": "GeoShape", "box": "1 x 3 4"}, "BOX", "POLYGON((0.0 0.0, 0.0 0.0, 0.0 0.0, 0.0 0.0, 0.0 0.0))"),
+        ({"@type": "GeoShape", "box": "1.123456789 2x 3E0 .5,"}, "BOX", "POLYGON((2.0 1.123456789, 2.0 3.0, 0.5 3.0, 0.5 1.123456789, 2.0 1.123456789))"),
+        ({"@type": "GeoShape", "box": "1"}, "BOX", "POLYGON((0.0 0.0, 0.0 0.0, 0.0 0.0, 0.0 0.0, 0.0 0.0))"),
+        ({"@type": "GeoCoordinates", "longitude": 7.5, "latitude": -2}, "POINT", "POINT(7.5 -2.0)"),
         ({"@type": "Other"}, "NONE", ""),
         (None, "NONE", ""),
     ],

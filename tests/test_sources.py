@@ -43,9 +43,9 @@ def test_many_unit_ids(datasets, units):
 
 def test_sample(spark):
     rows = spark.range(20_000)
-    assert archive.sample_to(rows, 20_000).count() == 20_000
-    assert 800 < archive.sample_to(rows, 1000).count() < 1200
-    assert archive.sample_to(rows.limit(0), 10).isEmpty()
+    assert archive.sample_to(rows, ["id"], 20_000).count() == 20_000
+    assert 800 < archive.sample_to(rows, ["id"], 1000).count() < 1200
+    assert archive.sample_to(rows.limit(0), ["id"], 10).isEmpty()
 
 
 def test_archive_provenance(datasets):
