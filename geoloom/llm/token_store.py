@@ -127,8 +127,9 @@ class Store:
     dictionary: str
 
 
-#: Bytes of ids in a sample for the dictionary, and documents looked at for each that a piece is wanted from.
-PIECE_BYTES, SPREAD = 2048, 8
+#: Bytes of ids in a piece of the sample for the dictionary, how much more text is encoded than the sample takes, and by how many
+#: tasks: the sample is bounded, and each task loads the tokenizer.
+PIECE_BYTES, SPREAD, SAMPLERS = 2048, 2, 6
 
 
 def sample_pieces(docs: DataFrame, coder: Callable[[], WordIds], end: bytes, most_bytes: int, id_col: str, text_col: str) -> list[bytes]:
@@ -145,6 +146,7 @@ def sample_pieces(docs: DataFrame, coder: Callable[[], WordIds], end: bytes, mos
     share = min(1.0, 2 * most_bytes / total)
     some = min(1.0, SPREAD * share)
     picked = docs.where(picked_by_hash("dictionary", id_col, share=some)).select(F.xxhash64(F.lit("piece"), id_col).alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    picked = picked.repartition(SAMPLERS)
 
     def run(batches):
         words = coder()
