@@ -35,6 +35,14 @@ def test_names_match():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("module", ["zstandard", "sentencepiece", "no_such_module"])
+def test_a_missing_library_leaves_the_rest(module):
+    code = f"import sys; sys.modules[{module!r}] = None; import __spark_entry__ as e; n = e.queries(); assert 'occ_points' in n and set(e.oracle_sql()) <= set(n); print(sum(k.startswith('op') and k[2].isdigit() for k in n))"
+    root = Path(entry.__file__).parent
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120, capture_output=True, text=True)
+    assert done.stdout.split()[-1] == ("0" if module == "zstandard" or not (root / "geoloom" / "llm").exists() else "10")
+
+
 def test_the_rest_works_without_the_llm_folder(tmp_path):
     root = Path(entry.__file__).parent
     for p in root.rglob("*.py"):
