@@ -21,6 +21,8 @@ class PrefixDP:
 
     #: Entries of the table of token pairs before it is begun anew.
     PAIRS = 500_000
+    #: Less than the difference of any two ranks.
+    STEP = 1e-9
 
     def __init__(self, vocab: dict, rank: Callable):
         self.vocab, self.rank = vocab, rank
@@ -30,21 +32,27 @@ class PrefixDP:
         self.ends = self._endings()
         self.text_of = {i: t for t, i in vocab.items()}
         self.unknown: dict = {}
+        self.formed: dict[int, tuple] = {}
 
     def _endings(self) -> set:
         """Ends of tokens, so that the search for a longer last token can stop early."""
         return {t[k:] for t in self.vocab for k in range(len(t))}
 
-    def merged(self, text) -> list:
-        """The tokens of a short text, by merging the pair of lowest rank, leftmost first."""
+    def merged(self, text, least: int = 1) -> list:
+        """The tokens of a short text, by merging the pair of lowest rank, leftmost first, until least are left."""
         parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > 1:
-            ranks = [self.rank(a, b) for a, b in zip(parts, parts[1:], strict=False)]
+        ranks = [self.rank(a, b) for a, b in zip(parts, parts[1:], strict=False)]
+        while len(parts) > least:
             best = min((r for r in ranks if r is not None), default=None)
             if best is None:
                 break
             k = ranks.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            ranks[k : k + 1] = []
+            if k:
+                ranks[k - 1] = self.rank(parts[k - 1], parts[k])
+            if k + 1 < len(parts):
+                ranks[k] = self.rank(parts[k], parts[k + 1])
         return parts
 
     def _id(self, text) -> int | None:
@@ -56,9 +64,40 @@ class PrefixDP:
                 self.text_of[found] = text
         return found
 
+    def _formed(self, token: int) -> tuple:
+        """(rank of the merge that forms a token, its left part, its right part); no parts for single symbols, and no rank for a
+        token that merging never gives."""
+        found = self.formed.get(token)
+        if found is None:
+            text, found = self.text_of[token], (-1, None, None)
+            if len(text) > 1:
+                parts = self.merged(text, 2)
+                at = self.rank(*parts) if len(parts) == 2 else None
+                found = (None, None, None) if at is None else (at, self._id(parts[0]), self._id(parts[1]))
+            self.formed[token] = found
+        return found
+
     def _may_follow(self, a: int, b: int) -> bool:
-        left, right = self.text_of[a], self.text_of[b]
-        return self.merged(left + right) == [left, right]
+        """Whether merging the joined text of two tokens gives just these two: whether no merge over the place between them comes
+        before the merges that form them. The merges are undone from the last one; of equal ones the leftmost comes first."""
+        rank, text_of, formed = self.rank, self.text_of, self._formed
+        limit = None
+        at_a, left_a, right_a = formed(a)
+        at_b, left_b, right_b = formed(b)
+        if at_a is None or at_b is None:
+            return False
+        while True:
+            over = rank(text_of[a], text_of[b])
+            if over is not None and (limit is None or over < limit):
+                return False
+            if right_a is not None and (left_b is None or at_a > at_b):
+                limit, a = at_a, right_a
+                at_a, left_a, right_a = formed(a)
+            elif left_b is not None:
+                limit, b = at_b + self.STEP, left_b
+                at_b, left_b, right_b = formed(b)
+            else:
+                return True
 
     def _alone(self, text) -> bool:
         found = self.whole.get(text)

@@ -66,8 +66,8 @@ class ByteCounter:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             ranks.setdefault((raw(a), raw(b)), k)
         self.dp = PrefixDP(vocab, lambda a, b: ranks.get((a, b)))
-        specials = [t["content"] for t in spec["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
+        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         self.cut = regex.compile(CUT)
         self.runs = regex.compile(r"\s\s+")
         self.kept, self.known = Bounded(self.KEPT), Bounded(self.WORDS)
@@ -79,13 +79,13 @@ class ByteCounter:
 
     def learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
         """Steps of chunks. Those that are one word after the other are joined from their words' steps."""
-        plain, odd = {}, []
+        plain, odd, cut = {}, [], self.cut.findall
         for c in missing:
             t = c.decode()
-            if (self.special and self.special.search(t)) or t[:2].isspace():
+            if t[:2].isspace() or any(x in t for x in self.specials):
                 odd.append(c)
             else:
-                plain[c] = [w.encode() for w in self.cut.findall(t)]
+                plain[c] = [w.encode() for w in cut(t)]
         found = self.known.holding(set().union(*plain.values()), self.learn_words).__getitem__
         out = {c: found(ws[0]) if len(ws) == 1 else b"".join(map(found, ws)) for c, ws in plain.items()}
         return out | {c: self._steps(c.decode(), self.prefix_counts(c.decode())) for c in odd}
@@ -99,8 +99,14 @@ class ByteCounter:
             if w.isascii():
                 out[w] = array("h", map(sub, counts[1:], counts)).tobytes()
             else:
-                ends = np.cumsum([len(c.encode()) for c in w.decode()]).tolist()
-                out[w] = self._steps(w.decode(), [counts[i] for i in ends])
+                steps, before = array("h"), 0
+                for n, following in zip(counts[1:], w[1:] + b" ", strict=True):
+                    if following & 0xC0 == 0x80:  # the character goes on
+                        steps.append(INSIDE)
+                    else:
+                        steps.append(n - before)
+                        before = n
+                out[w] = steps.tobytes()
         return out
 
     @staticmethod
@@ -164,6 +170,11 @@ def counts_of(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(np.where(steps == INSIDE, 0, steps), dtype=np.int64)
 
 
+def total_of(steps: np.ndarray) -> int:
+    """Token count of the whole text."""
+    return int(steps.sum(dtype=np.int64)) - INSIDE * int(np.count_nonzero(steps == INSIDE))
+
+
 def longest_within(steps: np.ndarray, limit: int) -> int:
     """Bytes of the longest prefix of whole characters that has at most limit tokens."""
     fits = np.flatnonzero((counts_of(steps) <= limit) & (steps != INSIDE))
@@ -190,7 +201,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
 
         def step(texts):
             found = counter.steps(texts)
-            totals = [int(counts_of(x)[-1]) if len(x) else 0 for x in found]
+            totals = list(map(total_of, found))
             fits = [len(x) if n <= limit else longest_within(x, limit) for x, n in zip(found, totals, strict=True)]
             return {"n_bytes": list(map(len, found)), "n_tokens": totals, "over_limit": [n > limit for n in totals], "fit_bytes": fits, "prefix_steps": [press.compress(x.tobytes()) for x in found]}
 

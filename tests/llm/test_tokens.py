@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -58,6 +59,26 @@ def check_prefixes(counter, text):
     assert set(np.flatnonzero(steps == token_counts.INSIDE).tolist()) == inner
 
 
+@pytest.mark.parametrize("kind", ["counter", "codec"])
+def test_which_tokens_may_follow_others(request, kind):
+    """Undoing merges tells what merging the joined text tells, for tokens that often meet and for any."""
+    dp = request.getfixturevalue(kind).dp
+    rng = random.Random(8)
+    tokens = [t for t in dp.vocab if len(t) > 0]
+    short = [t for t in tokens if len(t) <= 3]
+    pairs = [(rng.choice(short), rng.choice(short)) for _ in range(6000)] + [(rng.choice(tokens), rng.choice(tokens)) for _ in range(3000)]
+    for t in rng.sample([t for t in tokens if len(t) > 3], 2000):  # two tokens of which one ends as another begins, or that are parts of one
+        k = rng.randrange(1, len(t))
+        pairs += [(t[:k], t[k:]), (t[k:], t[:k]), (t, t)]
+    seen = set()
+    for a, b in pairs:
+        if a in dp.vocab and b in dp.vocab:
+            want = dp.merged(a + b) == [a, b]
+            assert dp._may_follow(dp.vocab[a], dp.vocab[b]) == want, (a, b)
+            seen.add(want)
+    assert seen == {True, False}
+
+
 @pytest.mark.parametrize("text", [
     "the thereon", " anderes", "aaaaaaaaaaaaaaaaaaaa", "naïve café", "x <|endoftext|> y", "!<|endoftext|><|endoftext|>  a", "<|endoftext", "don't we'll I've they're 'll 're!", "a  b\n\n c\t\t\td   ", "  \n",
     "x\u00a0y\u2028z\u3000w \x1c \x85 q", "日本語 текст 🎉🎉 e\u0301 \u00a0\u00a0 1234 ?!?", "a'ss'tt'LL x''re",
