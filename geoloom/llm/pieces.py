@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,8 @@ class PieceCodec:
         score = {p: -lib.get_score(i) for p, i in vocab.items()}
         if any(MARK in p.lstrip(MARK) for p in vocab):
             raise ValueError("a piece reaches over a space; words can't be encoded apart")
-        self.dp = PrefixDP(vocab, lambda a, b: score.get(a + b))
+        shared = frozenset(s for s, n in Counter(score.values()).items() if n > 1)
+        self.dp = PrefixDP(vocab, lambda a, b: score.get(a + b), shared)
         self.unknown = lib.unk_id()
         self.bytes = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.fallback = all(lib.is_byte(i) for i in self.bytes)

@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterable
 
 
 class PrefixDP:
-    """vocab: token text to id. rank: (left, right) to the priority of merging them, lowest first, or None.
+    """vocab: token text to id. rank: (left, right) to the priority of merging them, lowest first, or None. tied: ranks that
+    merges to different tokens share.
 
     Works on str (one symbol a character) or bytes (one symbol a byte). Symbols that the vocabulary lacks stay single and
     get negative ids.
@@ -24,8 +25,8 @@ class PrefixDP:
     #: Less than the difference of any two ranks.
     STEP = 1e-9
 
-    def __init__(self, vocab: dict, rank: Callable):
-        self.vocab, self.rank = vocab, rank
+    def __init__(self, vocab: dict, rank: Callable, tied: frozenset = frozenset()):
+        self.vocab, self.rank, self.tied = vocab, rank, tied
         self.longest = max(map(len, vocab), default=1)
         self.follows: dict[int, bool] = {}
         self.whole: dict = {}
@@ -79,15 +80,20 @@ class PrefixDP:
 
     def _may_follow(self, a: int, b: int) -> bool:
         """Whether merging the joined text of two tokens gives just these two: whether no merge over the place between them comes
-        before the merges that form them. The merges are undone from the last one; of equal ones the leftmost comes first."""
+        before the merges that form them. The merges are undone from the last one; of equal ones the leftmost comes first. Where
+        ranks don't tell the order, the text is merged."""
         rank, text_of, formed = self.rank, self.text_of, self._formed
-        limit = None
+        limit, tied = None, self.tied
+        parts = [text_of[a], text_of[b]]
+        whole = parts[0] + parts[1]
         at_a, left_a, right_a = formed(a)
         at_b, left_b, right_b = formed(b)
         if at_a is None or at_b is None:
             return False
         while True:
             over = rank(text_of[a], text_of[b])
+            if tied and (at_a in tied or at_b in tied or over in tied):
+                return self.merged(whole) == parts
             if over is not None and (limit is None or over < limit):
                 return False
             if right_a is not None and (left_b is None or at_a > at_b):
