@@ -74,8 +74,15 @@ def budgets(leaves: DataFrame, targets: list[tuple[str, str, int]], percent: int
     return leaves.join(above, on).withColumn("budget", F.col("budget").cast("long"))
 
 
+#: Leaves whose cut-offs are sent to every executor; with more (counted) the rows are shuffled by leaf, and adaptive execution
+#: splits what a hot leaf gathers. The result is the same.
+BROADCAST_LEAVES = 200_000
+
+
 def _leaf_join(rows: DataFrame, table: DataFrame) -> DataFrame:
-    return rows.join(table, [f"__{c}" for c in LEVELS])
+    """rows with their leaf's row of a written table, which has one for each leaf at most."""
+    few = table.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    return rows.join(F.broadcast(table) if few else table, [f"__{c}" for c in LEVELS])
 
 
 def cutoffs(counted: DataFrame, targets: list[tuple[str, str, int]], percent: int, epochs: int, seed: int) -> DataFrame:

@@ -101,7 +101,9 @@ def test_all_columns_stay_and_empty_tables_work(edge, nothing):
     assert mixing.mix(blank, mixing.TARGETS, 50, 2)[1].isEmpty()
 
 
-def test_query_against_sql(spark, sf_dir):
+@pytest.mark.parametrize("leaves", [mixing.BROADCAST_LEAVES, 0])
+def test_query_against_sql(spark, sf_dir, monkeypatch, leaves):
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", leaves)
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
     want = db.execute(mixing.ORACLE_SQL["op2_mixing"]).fetchall()
