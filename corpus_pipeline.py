@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from geoloom.llm import language, mixing, near_copies, pieces, quality
 from geoloom.llm.common import documents, materialize, remove_tables, written
 
-#: A document's language must be told with this score: low, as short and mixed clean documents score little.
-LEAST_SCORE = 0.3
+#: A document's language must be told with this margin over a guess: low, as short and mixed clean documents score little.
+LEAST_MARGIN = 0.1
 #: Texts are near-duplicates whose sets of shingles of so many words have this Jaccard similarity or more.
 SHINGLE, SIMILARITY = 5, 0.8
 #: Share of the words that the mixture may take, in per cent, and how often a document may be taken.
@@ -23,7 +23,7 @@ PERCENT, EPOCHS = 90, 1
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in no language that can be told, go. Null texts go; null ids and repeated rows are judged
     like any others; without any row that has a language, all go."""
-    return language.keep_identified(docs, language.train(docs), LEAST_SCORE)
+    return language.keep_identified(docs, language.train(docs), LEAST_MARGIN)
 
 
 def rate_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,13 +199,19 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     return map_rows(docs, start, list(keep), text_col, "lang_pred string, score double")
 
 
+def margin(score: float, languages: int) -> float:
+    """How far a score is above that of a guess among so many languages: 0 for a guess, 1 for certainty."""
+    return (score - 1 / languages) / (1 - 1 / languages) if languages > 1 else score
+
+
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose language is told with a score of at least least, with all their columns. Null texts and texts
+    """The rows of docs whose language is told with a margin of at least least, with all their columns. Null texts and texts
     without a letter go; repeated rows stay or go together; an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def start():
-        return lambda texts: [s >= least and k != UNKNOWN for k, s in map(shared.value.predict, texts)]
+        known = len(shared.value.languages)
+        return lambda texts: [k != UNKNOWN and margin(s, known) >= least for k, s in map(shared.value.predict, texts)]
 
     return filter_rows(docs, start, text_col)
 

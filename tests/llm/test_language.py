@@ -74,3 +74,12 @@ def test_temperature():
     labels = np.array([0] * 7 + [1] * 3)
     t = language.calibrate(logits, labels)
     assert abs(language.softmax(logits / t)[0, 0] - 0.7) < 0.01
+
+
+def test_margins_are_above_a_guess(spark, sample):
+    assert language.margin(0.25, 4) == 0 and language.margin(1.0, 4) == language.margin(1.0, 1) == 1 and language.margin(0.5, 2) == 0
+    model = language.train(sample)
+    scores = {r["doc_id"]: r for r in language.identify(sample, model).collect()}
+    for least in (0.1, 0.99):
+        kept = {r["doc_id"] for r in language.keep_identified(sample, model, least).collect()}
+        assert kept == {i for i, r in scores.items() if r["lang_pred"] != "und" and language.margin(r["score"], len(model.languages)) >= least}

@@ -20,7 +20,7 @@ def test_pipeline_against_stages_by_hand(spark, sf_dir):
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language.train(docs)
-    rows = [r for r in docs.collect() if (p := model.predict(r["text"]))[0] != "und" and p[1] >= corpus_pipeline.LEAST_SCORE]
+    rows = [r for r in docs.collect() if (p := model.predict(r["text"]))[0] != "und" and language.margin(p[1], len(model.languages)) >= corpus_pipeline.LEAST_MARGIN]
     crf = quality.train(docs.where(docs["doc_id"].isin([r["doc_id"] for r in rows])), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = [r for r in rows if quality.judge_text(r["text"], crf)[2]]
     stay = set(brute_copies(rows))
