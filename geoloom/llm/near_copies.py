@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from geoloom.llm.common import map_rows, materialize
 from geoloom.llm.simhash import bit_majority, links, shingle_digests, stars
+from geoloom.sources.tables import small
 
 BANDS, ROWS = 32, 4
 SEED = 42
@@ -145,7 +146,7 @@ def keep_one_copy(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col:
     pairs = materialize(_by_fingerprint(classes.select("__key", "fp")).unionByName(_end_pairs(met, similarity)).distinct(), "pairs")
     chosen = met.select("__key").union(pairs.select(F.explode(F.array("a", "b")))).distinct()
     chosen = classes.join(chosen, "__key").select(F.col("first.row").alias("__row"))
-    texts = marked.select("__key", "__row", text_col).join(chosen, "__row")
+    texts = marked.select("__key", "__row", text_col).join(small(materialize(chosen, "chosen")), "__row")
 
     def start():
         return lambda found: {"hashes": [shingle_hashes(t.encode(), n).view(np.int64) for t in found]}
@@ -162,5 +163,5 @@ def keep_one_copy(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col:
     rooted = materialize(_rooted(classes.select("__key", "first", "n"), root), "rooted")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("rows")).where("rows > 1")
     table = materialize(rooted.join(firsts, "root").select("__key", F.col("stays.row").alias("stays")), "copies")
-    gone = marked.select("__key", "__row").join(table, "__key").where("__row != stays").select("__row")
-    return marked.join(gone, "__row", "left_anti").select(docs.columns)
+    gone = materialize(marked.select("__key", "__row").join(table, "__key").where("__row != stays").select("__row"), "gone")
+    return marked.join(small(gone), "__row", "left_anti").select(docs.columns)
