@@ -6,8 +6,9 @@ of texts at a similarity of 0.8 differ by about 10 of 64 bits, beyond any ball t
 classes that share a band of MinHash values are candidates too. Only two texts that are similar, share none of BANDS bands and
 aren't linked through others are missed: at a similarity of 0.8 with a chance of (1 - 0.8 ** ROWS) ** BANDS = 5e-8 a pair.
 
-Bands are worked off in two rounds. First each class is compared with a few of each of its bands, those that come first and last
-in ORDERS orders that all bands share, so that a large group of near copies becomes one component at a cost that is linear. What is left are pairs of different
+Bands are worked off in two rounds. First each class is compared with one of each of its bands, the one that meets the most
+others: of a large group of near copies that is a text with few changes of its own, the same in most bands, and comparing with it
+makes the group one component at a cost that is linear. What is left are pairs of different
 components. Most such pairs are texts of one family with too many changes of their own, and an exact bound leaves them out
 unseen: call a word sequence rare if at most RARE of the classes left have it. Two sets that share no rare shingle share no
 more than the smaller one's common shingles; if that is too little for the similarity, they aren't compared. Sets that share
@@ -26,8 +27,8 @@ from geoloom.sources.tables import small
 
 BANDS, ROWS = 32, 4
 SEED = 42
-#: Orders of classes in the first round, and classes that a rare shingle may have.
-ORDERS, RARE = 2, 16
+#: Classes that a rare shingle may have.
+RARE = 16
 
 
 def shingle_hashes(text: bytes, n: int) -> np.ndarray:
@@ -88,10 +89,18 @@ def _sized(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * similarity
 
 
-def _end_pairs(met: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of each class and the first and last of its bands in each order."""
-    ends = met.select("__key", "size", F.explode(F.array_distinct("ends")).alias("end")).where((F.col("end.key") != F.col("__key")) & _sized("size", "end.size", similarity))
-    return ends.select(F.least("__key", "end.key").alias("a"), F.greatest("__key", "end.key").alias("b")).distinct()
+def _centred(met: DataFrame) -> DataFrame:
+    """band, __key, size and centre (key and size: the class of the band whose own bands have the most classes) of all classes of
+    each band but the centre. met: band, __key, size, n."""
+    meets = met.groupBy("__key").agg(F.sum("n").alias("meets"))
+    most = met.join(meets, "__key").groupBy("band").agg(F.max(F.struct("meets", F.col("__key").alias("key"), "size")).alias("centre"))
+    return met.select("band", "__key", "size").join(most, "band").where(F.col("centre.key") != F.col("__key"))
+
+
+def _central_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of each class and the centres of its bands."""
+    pairs = met.where(_sized("size", "centre.size", similarity))
+    return pairs.select(F.least("__key", "centre.key").alias("a"), F.greatest("__key", "centre.key").alias("b")).distinct()
 
 
 def _sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
@@ -137,14 +146,10 @@ def keep_one_copy(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col:
     classes = materialize(marked.groupBy("__key").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.any_value("__size").alias("size"), F.any_value("__fp").alias("fp"), F.any_value("__bands").alias("bands")), "classes")
 
     entries = classes.select("__key", "size", F.explode("bands").alias("band"))
-    ends = []
-    for k in range(ORDERS):
-        place = F.xxhash64("__key", F.lit(k))
-        ends += [least(F.struct("__key", "size"), place) for least in (F.min_by, F.max_by)]
-    shared = entries.groupBy("band").agg(F.count("*").alias("n"), F.array(*[e.cast("struct<key:binary,size:bigint>") for e in ends]).alias("ends")).where("n > 1")
-    met = materialize(entries.join(shared, "band"), "met")
-    pairs = materialize(_by_fingerprint(classes.select("__key", "fp")).unionByName(_end_pairs(met, similarity)).distinct(), "pairs")
-    chosen = met.select("__key").union(pairs.select(F.explode(F.array("a", "b")))).distinct()
+    shared = entries.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(_centred(materialize(entries.join(shared, "band"), "met")), "met")
+    pairs = materialize(_by_fingerprint(classes.select("__key", "fp")).unionByName(_central_pairs(met, similarity)).distinct(), "pairs")
+    chosen = met.select("__key").union(met.select("centre.key")).union(pairs.select(F.explode(F.array("a", "b")))).distinct()
     chosen = classes.join(chosen, "__key").select(F.col("first.row").alias("__row"))
     texts = marked.select("__key", "__row", text_col).join(small(materialize(chosen, "chosen")), "__row")
 
@@ -153,7 +158,7 @@ def keep_one_copy(docs: DataFrame, n: int = 5, similarity: float = 0.8, id_col:
 
     sets = materialize(map_rows(texts, start, ["__key"], text_col, "hashes array<bigint>"), "sets", "zstd")
     near = materialize(_confirmed(pairs, sets, similarity), "near")
-    placed = _rooted(met.select("band", "__key", "size"), stars(near))
+    placed = _rooted(met.select("band", "__key", "size"), stars(near))  # without the centres: they have been compared with all
     several = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     left = materialize(placed.join(several.select("band"), "band"), "left")
     pairs = materialize(_last_pairs(left, sets, similarity), "last")
