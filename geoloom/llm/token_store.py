@@ -15,6 +15,7 @@ import re
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ class WordIds:
     lower-cased first and get a space before each run of signs, where the library cuts anyway: that leaves fewer words.
     """
 
-    KEPT = 1_300_000
+    KEPT = 700_000
     #: Words in one call.
     CALL = 500
     #: Texts with one of these, or beyond Latin-1, go to the library as they are: spaces and separators that libraries see differently.
@@ -108,6 +109,12 @@ class WordIds:
         return [b"".join(map(table.__getitem__, ws)) for ws in lists]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str, width: int) -> WordIds:
+    """One tokenizer, with what it has learned, for all tasks that a worker does one after the other."""
+    return WordIds(path, width)
+
+
 def width_of(path: str) -> int:
     """Bytes that each id needs. Also makes sure that the tokenizer drops white space, on which WordIds rests."""
     with open(path, encoding="utf-8") as f:
@@ -201,7 +208,7 @@ def write_store(
     kind = np.dtype(f"<u{width}")
     end = np.array([end_id], kind).tobytes()
     file = ship_file(spark, tokenizer)
-    raw = train_dictionary(sample_pieces(docs, lambda: WordIds(file.path(), width), end, sample_bytes, id_col, text_col), dictionary_bytes)
+    raw = train_dictionary(sample_pieces(docs, lambda: word_ids(file.path(), width), end, sample_bytes, id_col, text_col), dictionary_bytes)
     sha = hashlib.sha256(raw).hexdigest()
     store = Store(f"{path}/blocks", f"{path}/dictionary")
     spark.createDataFrame([(sha, bytearray(raw))], "dict_sha256 string, dictionary binary").coalesce(1).write.parquet(store.dictionary)
@@ -212,7 +219,7 @@ def write_store(
 
     def run(batches):
         shard, block, before = TaskContext.get().partitionId(), 0, 0
-        coder = WordIds(file.path(), width)
+        coder = word_ids(file.path(), width)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw))
         data, ids, offsets, befores = bytearray(), [], [], []
 
