@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from geoloom.sources.tables import shared_folder as shared_dir
+
 #: The ASCII white space that separates words everywhere in this subpackage.
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
@@ -26,18 +28,6 @@ WORD = f"[^{SPACE}]+"
 GROUP_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a temporary one is made if all run
-    on this machine (tests); on a cluster that is an error, as a machine's own folder would lose rows."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="geoloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 _shipped: set[tuple[str, str]] = set()
 _written: list[str] = []
 
