@@ -69,10 +69,11 @@ def _mark(docs: DataFrame, n: int, text_col: str) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose sets have at least this Jaccard similarity."""
+    """The pairs (a, b) of keys whose sets have at least this Jaccard similarity. pairs: a written table, which goes to the sets if
+    it has few rows (counted), so that only the sets of one side are shuffled."""
     a, b = sets.select(F.col("__key").alias("a"), F.col("hashes").alias("of_a")), sets.select(F.col("__key").alias("b"), F.col("hashes").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(a, "a").join(b, "b").where(both / (F.size("of_a") + F.size("of_b") - both) >= similarity).select("a", "b")
+    return small(pairs).join(a, "a").join(b, "b").where(both / (F.size("of_a") + F.size("of_b") - both) >= similarity).select("a", "b")
 
 
 def _by_fingerprint(classes: DataFrame) -> DataFrame:
