@@ -60,6 +60,12 @@ def test_sample(spark):
     assert archive.sample_to(rows.limit(0), ["id"], 10).isEmpty()
 
 
+def test_no_sample_without_a_cap(spark):
+    rows = spark.range(120_000)
+    assert archive.sample_to(rows, ["id"]).count() == 120_000
+    assert 99_000 < archive.sample_to(rows, ["id"], archive.SOFT_CAP).count() < 101_000
+
+
 def test_archive_provenance(datasets):
     row = archive.archive_provenance(datasets, 'a, "b"').first()
     assert (row["citation"], row["license"], row["uri"], row["local_identifier"]) == ("cite", "free", "", "data.archive_source")
