@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from geoloom import workload
 from geoloom.functions.attributes import path_hash
 from geoloom.functions.rect import QueryRect
 from geoloom.operators import taxa
@@ -66,6 +67,15 @@ def test_no_sample_without_a_cap(spark):
     assert 99_000 < archive.sample_to(rows, ["id"], archive.SOFT_CAP).count() < 101_000
 
 
+def test_sample_cap_has_no_idle_stage(spark, tmp_path, monkeypatch):
+    """Rows beyond the soft cap: all are kept, and they don't pass through a sample that has nothing to do."""
+    spark.range(120_000).select(F.col("id").alias("vec_id"), F.array(F.col("id") / 2, F.col("id") / 4).cast("array<float>").alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(archive, "sample_to", None)
+    found = workload.sample_cap(spark, str(tmp_path)).agg(F.count("*"), F.countDistinct("vec_id"), F.sum("x"), F.sum("y")).first()
+    total = 120_000 * 119_999 / 2
+    assert tuple(found) == (120_000, 120_000, total / 2, total / 4)
+
+
 def test_archive_provenance(datasets):
     row = archive.archive_provenance(datasets, 'a, "b"').first()
     assert (row["citation"], row["license"], row["uri"], row["local_identifier"]) == ("cite", "free", "", "data.archive_source")
